@@ -14,8 +14,10 @@ than ``slack`` partitions empty.  Such a set (rare, small) emits the families
 of further independent splits as well, up to the first where it is well spread;
 its partner emits the first family always, so no link is lost.
 
-Equal sets are one node (a 64-bit fingerprint of the set).  Nodes that share a
-signature are compared exactly with the group's leader first; components of
+Equal sets are one node (a 64-bit fingerprint of the set).  Elements that no
+other candidate has bound what two nodes can share, so most pairs of a crowded
+group are ruled out by two counts.  Of the rest, nodes that share a signature
+are compared exactly with the group's most central node first; components of
 verified links then dissolve most groups, and only groups still holding several
 components get more leaders (8 times as many each round, to all if need be),
 so groups of copies never expand into all pairs and no link is lost.
@@ -53,6 +55,8 @@ class JaccardJoin:
     #: Least mean number of elements under a signature; below it subsets of two of three cells are used.
     least_elements: float = 3.0
     families: int = 4
+    #: Least signatures kept with a node, to meet a pair at one of its signatures only.
+    sketch: int = 16
     #: Up to so many ids are sent to all executors to pick texts out; beyond, ids and texts meet in a shuffle.
     broadcast_ids: int = 1_000_000
 
@@ -204,17 +208,17 @@ def _signed(docs: DataFrame, join: JaccardJoin, id_column: str, text_column: str
 
 
 def _shared(it):
-    """From rows sorted by (sig, node): (sig, leader, node) of every signature with several nodes.
+    """From rows sorted by (sig, node): the distinct rows of every signature with several nodes.
 
     State is one row, so a group of any size passes through.
     """
     last_sig = last_node = None
-    leader, told = None, False
+    told = True  # whether the last row has been given out
     for batch in it:
         sig, node = (np.asarray(batch.column(i)) for i in range(2))
-        if not len(sig):
-            continue
         n = len(sig)
+        if not n:
+            continue
         new_sig, new_node = np.ones(n, bool), np.ones(n, bool)
         new_sig[1:] = sig[1:] != sig[:-1]
         new_node[1:] = new_sig[1:] | (node[1:] != node[:-1])
@@ -222,26 +226,20 @@ def _shared(it):
             new_sig[0] = False
             new_node[0] = node[0] != last_node
         start = np.flatnonzero(new_sig)
-        which = np.cumsum(new_sig) - 1  # -1: goes on from the batch before
-        first = np.where(which >= 0, node[start[np.maximum(which, 0)]] if len(start) else 0, leader if leader is not None else 0)
-        member = new_node & (node != first)
+        which = np.cumsum(new_sig)  # 0: goes on from the batch before
         many = np.zeros(len(start) + 1, bool)
-        np.logical_or.at(many, which[member] + 1, True)
-        # A leader's own row goes with its group's first member; one begun before this batch may be told later.
-        lead = new_sig & many[which + 1]
-        out_sig, out_first, out_node = [sig[member | lead]], [first[member | lead]], [node[member | lead]]
+        many[which[new_node & ~new_sig]] = True
+        out = (new_node & ~new_sig) | (new_sig & many[which])
+        out_sig, out_node = sig[out], node[out]
         if many[0] and not told:
-            out_sig.append(np.array([last_sig]))
-            out_first.append(np.array([leader]))
-            out_node.append(np.array([leader]))
-        if len(start):
-            leader, told = node[start[-1]], bool(many[-1])
-        else:
-            told = told or bool(many[0])
-        last_sig, last_node = sig[-1], node[-1]
-        arrays = [pa.array(np.concatenate(x).astype(np.int64)) for x in (out_sig, out_first, out_node)]
-        if len(arrays[0]):
-            yield pa.RecordBatch.from_arrays(arrays, names=["sig", "leader", "node"])
+            out_sig, out_node = np.append(out_sig, last_sig), np.append(out_node, last_node)
+        # The last group's only node so far waits for a second one.
+        told = bool(many[-1]) or (len(start) == 0 and told)
+        last_sig = sig[-1]
+        if len(start) or many[0]:
+            last_node = node[-1]
+        if len(out_sig):
+            yield pa.RecordBatch.from_arrays([pa.array(out_sig), pa.array(out_node)], names=["sig", "node"])
 
 
 def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, join: JaccardJoin, id_column: str, text_column: str) -> DataFrame:
@@ -271,7 +269,7 @@ def link_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin(), id_column: str
     signed = scratch.write(_signed(docs, join, id_column, text_column))
     rows = signed.select(id_column, "n_shingles", "node")
     exploded = signed.select(F.explode("sigs").alias("sig"), "node")
-    groups = scratch.write(exploded.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, leader long, node long"))
+    groups = scratch.write(exploded.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"))
     roots = _components(docs, rows, groups, join, scratch, id_column, text_column)
     named = rows.withColumn("root", F.col("node"))
     if roots is not None:
@@ -284,39 +282,67 @@ def link_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin(), id_column: str
 
 def _components(docs, rows, groups, join: JaccardJoin, scratch: Scratch, id_column: str, text_column: str) -> DataFrame | None:
     """(node, root) of all nodes with a link; None if there is no link."""
-    pairs = groups.where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    pairs = scratch.write(pairs)
-    if pairs.isEmpty():
+    least = F.slice(F.sort_array(F.collect_list("sig")), 1, join.sketch).alias("keys")
+    members = scratch.write(groups.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), least))
+    if members.isEmpty():
         return None
-    members = scratch.write(groups.select("node").distinct())
-    sets = scratch.write(_sets_of(docs, rows, members, join, id_column, text_column))
+    sets = scratch.write(_sets_of(docs, rows, members.select("node"), join, id_column, text_column))
+    facts = scratch.write(_facts(sets, members, join))
+    held = scratch.write(groups.join(facts, "node").select("sig", "node", "n", "own", "shared", "keys"))
+    first = held.groupBy("sig").agg(F.min(F.struct("own", -F.col("shared"), "node", "n")).alias("f"), F.count(F.lit(1)).alias("size"))
+    first = scratch.write(first.where("size > 1").select("sig", F.col("f.node").alias("x"), F.col("f.n").alias("x_n"), F.col("f.own").alias("x_own")))
+    pairs = first.join(held, "sig").where((F.col("x") != F.col("node")) & _possible(join))
+    pairs = scratch.write(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
     tested, links, roots, leaders, below = pairs, None, None, 8, 0
     while True:
-        found = scratch.write(_verified(pairs, sets, join, scratch))
+        found = scratch.write(_verified(pairs, sets, join))
         links = found if links is None else links.union(found)
-        if not links.isEmpty():
+        if not found.isEmpty():
             roots = connected_components(links, scratch)
-        held = groups.select("sig", "node")
+        now = held
         if roots is not None:
-            held = held.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+            now = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
-            held = held.withColumn("root", F.col("node"))
-        open_ = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
-        open_ = scratch.write(open_.where("lo <> hi").select("sig", "n"))
-        held = scratch.write(held.join(open_, "sig").withColumn("u", (F.xxhash64("sig", "node") / F.lit(2.0**64) + 0.5)))
-        if below and held.where(F.col("u") >= F.lit(float(below)) / F.col("n")).isEmpty():
+            now = held.withColumn("root", F.col("node"))
+        open_ = now.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+        open_ = scratch.write(open_.where("lo <> hi").select("sig", "size"))
+        place = F.xxhash64("node", F.lit(5)) / F.lit(2.0**64) + 0.5
+        now = scratch.write(now.join(open_, "sig").select("sig", "node", "n", "own", "root", "keys", (place * F.col("size")).alias("turn")))
+        if now.where(F.col("turn") >= below).isEmpty():
             return roots
-        if held.isEmpty():
-            return roots
-        chosen = held.where((F.col("u") < F.lit(float(leaders)) / F.col("n")) & (F.col("u") >= F.lit(float(below)) / F.col("n")))
-        chosen = chosen.select("sig", F.col("node").alias("x"), F.col("root").alias("x_root"))
-        more = chosen.join(held, "sig").where("root <> x_root").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        chosen = now.where((F.col("turn") >= below) & (F.col("turn") < leaders))
+        chosen = chosen.select("sig", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"), F.col("root").alias("x_root"), F.col("keys").alias("x_keys"))
+        more = chosen.join(now, "sig").where((F.col("root") != F.col("x_root")) & _possible(join) & _once())
+        more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         pairs = scratch.write(more.join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
         below, leaders = leaders, leaders * 8
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin, scratch: Scratch) -> DataFrame:
+def _facts(sets: DataFrame, members: DataFrame, join: JaccardJoin) -> DataFrame:
+    """(node, n, own, shared, keys) of the nodes that could have a partner: ``own`` elements are in no other candidate."""
+    each = sets.select("node", F.explode("shingles").alias("element"))
+    lone = each.groupBy("element").agg(F.count(F.lit(1)).alias("seen"), F.min("node").alias("node")).where("seen = 1")
+    own = lone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    known = sets.select("node", F.size("shingles").cast("long").alias("n")).join(own, "node", "left").join(members, "node")
+    known = known.select("node", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "shared", "keys")
+    # The best partner has just the elements that are not its own.
+    return known.where(F.lit(100) * (F.col("n") - F.col("own")) >= F.lit(join.percent) * F.col("n"))
+
+
+def _once():
+    """Whether this signature stands for the pair: the least that both have among their least ones, or any if none is."""
+    both = F.array_intersect("keys", "x_keys")
+    return (F.size(both) == 0) | (F.array_min(both) == F.col("sig"))
+
+
+def _possible(join: JaccardJoin):
+    """Whether the elements that the two may share can reach the threshold."""
+    both = F.least(F.col("n") - F.col("own"), F.col("x_n") - F.col("x_own"))
+    return F.lit(100 + join.percent) * both >= F.lit(join.percent) * (F.col("n") + F.col("x_n"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
     """The pairs whose sets reach the threshold, counted exactly."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys"))
