@@ -311,8 +311,10 @@ def _components(docs, rows, groups, join: JaccardJoin, scratch: Scratch, id_colu
         if now.where(F.col("turn") >= below).isEmpty():
             return roots
         chosen = now.where((F.col("turn") >= below) & (F.col("turn") < leaders))
-        chosen = chosen.select("sig", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"), F.col("root").alias("x_root"), F.col("keys").alias("x_keys"))
-        more = chosen.join(now, "sig").where((F.col("root") != F.col("x_root")) & _possible(join) & _once())
+        chosen = chosen.select("sig", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"), F.col("root").alias("x_root"), F.col("keys").alias("x_keys"), F.col("turn").alias("x_turn"))
+        # A pair is met in the turn of its earlier node.
+        later = (F.col("turn") > F.col("x_turn")) | ((F.col("turn") == F.col("x_turn")) & (F.col("node") > F.col("x")))
+        more = chosen.join(now, "sig").where(later & (F.col("root") != F.col("x_root")) & _possible(join) & _once())
         more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         pairs = scratch.write(more.join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
