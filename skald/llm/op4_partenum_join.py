@@ -53,7 +53,7 @@ class JaccardJoin:
     percent: int = 90
     slack: int = 1
     #: Least mean number of elements under a signature; below it subsets of two of three cells are used.
-    least_elements: float = 3.0
+    least_elements: float = 2.0
     families: int = 4
     #: Least signatures kept with a node, to meet a pair at one of its signatures only.
     sketch: int = 16
