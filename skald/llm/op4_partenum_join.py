@@ -80,7 +80,14 @@ def plan(instance: int, join: JaccardJoin) -> tuple[int, int, int, int]:
     k = (high + partner) * (100 - join.percent) // (100 + join.percent)
     if k == 0:
         return 1, 1, 0, 0
-    n1, n2, k2 = k + 1 + join.slack, 1, 0
+    slack = join.slack
+    for _ in range(30):  # room for the cells that chance leaves empty
+        empty = (k + 1 + slack) * np.exp(-low / (k + 1 + slack))
+        need = min(int(np.ceil(empty + 3 * np.sqrt(empty))), join.slack + k // 2)
+        if need <= slack:
+            break
+        slack = need
+    n1, n2, k2 = k + 1 + slack, 1, 0
     if low / n1 < join.least_elements:
         n1, n2, k2 = k // 2 + 1 + join.slack, 3, 1
     return n1, n2, k2, n1 - k // (k2 + 1) - 1
@@ -182,29 +189,40 @@ def fingerprints(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return B.mix64(total[at[1:]] - total[at[:-1]] + size * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _signed(docs: DataFrame, join: JaccardJoin, id_column: str, text_column: str) -> DataFrame:
-    """(id, n_shingles, node, sigs); equal sets within a task give their signatures once."""
+def _nodes(docs: DataFrame, join: JaccardJoin, id_column: str, text_column: str) -> DataFrame:
+    """(id, n_shingles, node): the node is null for an empty set."""
+
+    def run(it):
+        for rows, data, off in B.chunks(it, text_column):
+            x, at = shingle_sets(data, off, join.words)
+            size = np.diff(at)
+            yield pa.RecordBatch.from_arrays([B.column_of(rows, id_column), pa.array(size), pa.array(fingerprints(x, at), mask=size == 0)], names=[id_column, "n_shingles", "node"])
+
+    out = T.StructType([docs.schema[id_column], *T._parse_datatype_string("n_shingles long, node long").fields])
+    return docs.select(id_column, text_column).mapInArrow(run, out)
+
+
+def _signatures_of(docs: DataFrame, join: JaccardJoin, text_column: str) -> DataFrame:
+    """(sig, node) of all texts; equal sets within a task give their signatures once.
+
+    The rows go straight into a shuffle: computing sets twice costs less than
+    keeping the signatures on disk.
+    """
 
     def run(it):
         seen: set[int] = set()
         for rows, data, off in B.chunks(it, text_column):
             x, at = shingle_sets(data, off, join.words)
-            nodes = fingerprints(x, at)
+            nodes, size = fingerprints(x, at), np.diff(at)
             new = np.zeros(rows.num_rows, bool)
             for i, node in enumerate(nodes.tolist()):
                 if node not in seen:
                     seen.add(node)
                     new[i] = True
-            size = np.diff(at)
-            keep = np.repeat(new, size)
-            sigs, ends = signatures(x[keep], np.concatenate([[0], np.cumsum(size * new)]), join)
-            yield pa.RecordBatch.from_arrays(
-                [B.column_of(rows, id_column), pa.array(size), pa.array(nodes, mask=size == 0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sigs.view(np.int64)))],
-                names=[id_column, "n_shingles", "node", "sigs"],
-            )
+            sigs, ends = signatures(x[np.repeat(new, size)], B.running(size * new), join)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.repeat(nodes, np.diff(ends)))], names=["sig", "node"])
 
-    out = T.StructType([docs.schema[id_column], *T._parse_datatype_string("n_shingles long, node long, sigs array<long>").fields])
-    return docs.select(id_column, text_column).mapInArrow(run, out)
+    return docs.select(text_column).mapInArrow(run, "sig long, node long")
 
 
 def _shared(it):
@@ -266,10 +284,9 @@ def link_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin(), id_column: str
     """(id, n_shingles, component_id) for every row; component_id is the smallest id reachable by links."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    signed = scratch.write(_signed(docs, join, id_column, text_column))
-    rows = signed.select(id_column, "n_shingles", "node")
-    exploded = signed.select(F.explode("sigs").alias("sig"), "node")
-    groups = scratch.write(exploded.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"))
+    rows = scratch.write(_nodes(docs, join, id_column, text_column))
+    signed = _signatures_of(docs, join, text_column)
+    groups = scratch.write(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"))
     roots = _components(docs, rows, groups, join, scratch, id_column, text_column)
     named = rows.withColumn("root", F.col("node"))
     if roots is not None:
