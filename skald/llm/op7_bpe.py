@@ -324,8 +324,7 @@ def encode(docs: DataFrame, bpe: ByteBpe, text_column: str = "text", ids_column:
         for rows, data, off in B.chunks(it, text_column, CHUNK_BYTES):
             e = model.encode(data, off)
             out, at = e.decoded()
-            text = memoryview(data)
-            same = [out[a:b] == text[c:d] for a, b, c, d in zip(at[:-1].tolist(), at[1:].tolist(), off[:-1].tolist(), off[1:].tolist())]
+            same = [bytes(out[a:b]) == data[c:d].tobytes() for a, b, c, d in zip(at[:-1].tolist(), at[1:].tolist(), off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*(B.column_of(rows, c) for c in kept), e.id_lists(), pa.array(same, pa.bool_())], names=[*kept, ids_column, check_column])
 
     out = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids_column, T.ArrayType(T.IntegerType())), T.StructField(check_column, T.BooleanType())])
