@@ -229,4 +229,6 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, id_column: str = "doc_id
 def keep_good(docs: DataFrame, model: RuleEnsemble, text_column: str = "text") -> DataFrame:
     """The rows whose score reaches the threshold, with the columns they came with."""
     rows, _ = with_statistics(docs, text_column)
-    return rows.where(model.score() >= model.threshold).select(docs.columns)
+    # The row number keeps the filter above the projection: pushed below, it would work out every statistic once per rule.
+    scored = rows.select(*docs.columns, model.score().alias("_q_score"), F.monotonically_increasing_id().alias("_q_row"))
+    return scored.where(F.col("_q_score") >= model.threshold).select(docs.columns)
