@@ -1,0 +1,3 @@
+"""The query catalogue; ``lore`` adds to the tables that ``catalogue`` starts."""
+
+from . import catalogue, lore  # noqa: F401
