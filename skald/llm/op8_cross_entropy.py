@@ -1,20 +1,22 @@
 """Cross-entropy difference of matched bigram models.
 
 A target model (documents named by the caller) and a background model (all
-documents) share one vocabulary, the corpus's most frequent words with one
-class for the rest, and the same smoothing.  Both are counted over every
-document.  A document's score is its mean per-token loss under the target
-model minus that under the background model: the lower, the closer to the
-target.
+documents) share one vocabulary, every word of the corpus, and the same
+smoothing.  Both are counted over every document.  A document's score is its
+mean per-token loss under the target model minus that under the background
+model: the lower, the closer to the target.
 
-Word counts go through one aggregation over the whole corpus; bigram counts
-are added up per task in a table of fixed size (vocabulary squared) before
-they are shuffled.  What is sent to the executors is bounded by the
-vocabulary, never by the corpus.
+Pairs of the most frequent words are counted in a table of fixed size per task
+and scored from a broadcast of it.  Every other pair holds a rarer word and
+goes, packed by text chunk, to the partition of that word, where all its
+occurrences meet: counts of the word and its pairs are complete there, and what
+each document gains or loses by them is sent back and added up.  A word that
+is not among the most frequent is too rare to make one partition heavy.
 
 Defined results: a null or empty text has no tokens and zero losses; an empty
-target makes both models uniform over what smoothing leaves; ties in the
-vocabulary are cut by word hash.
+target makes both models uniform over what smoothing leaves; one unseen word
+counts as part of the vocabulary.  A caller may cap the vocabulary; the words
+past the cap (ties are cut by word hash) are then that one word.
 """
 
 from __future__ import annotations
@@ -28,12 +30,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import batches as B
+from .durable import Scratch
+
+#: Text packed at once on the way to the words' partitions.
+SENT_BYTES = 1 << 22
+
+#: Neighbours that are no rare word: nothing before, a frequent word before (its place), and the same after the word.
+_START, _AFTER = np.uint64(0), np.uint64(1 << 32)
+
+_SENT = "site int, word binary, other binary, keys binary, counts binary, targets binary"
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    #: Words told apart; the table of bigrams has (vocabulary + 1) squared cells.
-    vocabulary: int = 1_023
+    #: Words told apart, the most frequent ones; None for every word of the corpus.
+    vocabulary: int | None = None
+    #: Of an uncapped vocabulary, the words whose pairs are counted in a table of (hot + 1) squared cells.
+    hot: int = 1_023
     #: Weight of the unigram model in each bigram context.
     context_mass: float = 20.0
     #: Up to so many target ids are sent to all executors; beyond, they meet the documents in a shuffle.
@@ -87,12 +100,94 @@ def count_bigrams(docs: DataFrame, vocabulary: np.ndarray, text_column: str, tar
     return made.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def losses(counts: np.ndarray, config: LmConfig) -> np.ndarray:
-    """Loss (nats) of each word after each context, from a square table of counts."""
+def losses(counts: np.ndarray, config: LmConfig, size: int | None = None) -> np.ndarray:
+    """Loss (nats) of each word after each context, from a square table of counts; ``size``: words of the vocabulary."""
     counts = counts.astype(np.float64)
-    words = counts.sum(0) + 1.0
-    unigram = words / words.sum()
-    return -np.log((counts + config.context_mass * unigram) / (counts.sum(1, keepdims=True) + config.context_mass))
+    return -np.log((counts + config.context_mass * unigrams(counts, size)) / (counts.sum(1, keepdims=True) + config.context_mass))
+
+
+def unigrams(counts: np.ndarray, size: int | None = None) -> np.ndarray:
+    """Smoothed share of each word after any context."""
+    return (counts.sum(0) + 1.0) / (counts.sum() + (size or len(counts)))
+
+
+def send_rare(docs: DataFrame, hot, sites: int, text_column: str) -> DataFrame:
+    """Occurrences of words that are not hot, with their neighbours, dealt by word over the sites.
+
+    Each one is sent with what stands before it, and again where it leads into
+    a hot word or ends its text; a pair of two rare words goes to the second.
+    """
+
+    def run(it):
+        for rows, data, off in B.chunks(it, text_column, SENT_BYTES):
+            starts, ends, _ = B.word_spans(data, off)
+            words = B.span_hashes(data, starts, ends, B.FOLDED)
+            ids, first = token_ids(data, off, hot.value)
+            sizes = np.diff(first)
+            begins, stops = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+            begins[first[:-1][sizes > 0]] = True
+            stops[first[1:][sizes > 0] - 1] = True
+            before = np.roll(np.where(ids == 0, words, ids.astype(np.uint64)), 1)
+            before[begins] = _START
+            after = np.roll(ids, -1)
+            after[stops] = 0
+            second, leads = np.flatnonzero(ids == 0), np.flatnonzero((ids == 0) & (stops | (after > 0)))
+            at = np.concatenate([second, leads])
+            other = np.concatenate([before[second], _AFTER + after[leads].astype(np.uint64)])
+            row = np.repeat(np.arange(rows.num_rows), sizes)[at]
+            site = (words[at] % np.uint64(sites)).astype(np.int64)
+            place = site * rows.num_rows + row
+            order = np.argsort(place, kind="stable")
+            word, other, place = words[at][order], other[order], place[order]
+            heads = np.flatnonzero(np.diff(place, prepend=-1))
+            counts = np.diff(heads, append=len(place)).astype(np.int32)
+            site, row = np.divmod(place[heads], rows.num_rows)
+            keys = np.asarray(B.column_of(rows, "_key"))[row]
+            targets = np.asarray(B.column_of(rows, "_target").to_pylist(), np.uint8)[row]
+            cuts = np.flatnonzero(np.diff(site, prepend=-1))
+            out = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(site)]):
+                inner = slice(heads[lo], heads[hi] if hi < len(heads) else len(place))
+                out.append((int(site[lo]), *(x.tobytes() for x in (word[inner], other[inner], keys[lo:hi], counts[lo:hi], targets[lo:hi]))))
+            if out:
+                types = [pa.int32()] + [pa.binary()] * 5
+                names = [part.split()[0] for part in _SENT.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
+
+    return docs.mapInArrow(run, _SENT).repartitionById(sites, "site")
+
+
+def score_rare(sent: DataFrame, shared, config: LmConfig) -> DataFrame:
+    """(key, target, background): what documents' losses gain at each site; every word's rows are in one partition."""
+
+    def run(it):
+        parts = [[], [], [], [], []]
+        for batch in it:
+            for part, column, kind in zip(parts, batch.columns[1:], (np.uint64, np.uint64, np.int64, np.int32, np.uint8)):
+                part.extend(np.frombuffer(x.as_buffer(), kind) for x in column)
+        if not parts[0]:
+            return
+        word, other, keys, counts, targets = (np.concatenate(p) for p in parts)
+        hot = shared.value  # for both models: total with smoothing, unigrams of the hot words
+        known, doc = np.unique(keys, return_inverse=True)
+        doc = np.repeat(doc, counts)
+        after = (other >= _AFTER) & (other <= _AFTER + np.uint64(len(hot[0][1])))
+        start, end = other == _START, other == _AFTER
+        cell = np.unique(B.mix64(word + B.mix64(other ^ np.uint64(0x9E3779B97F4A7C15))), return_inverse=True)[1]
+        word = np.unique(word, return_inverse=True)[1]
+        context = (~after).astype(np.float64) - end
+        place = np.where(after, other - _AFTER, np.uint64(0)).astype(np.int64)
+        out = []
+        for (total, unigram), weight in zip(hot, (np.repeat(targets, counts).astype(np.float64), np.ones(len(doc)))):
+            inward = np.bincount(word, weight * (~after & ~start))
+            outward = np.bincount(word, weight * context)
+            pairs = np.bincount(cell, weight)
+            share = np.where(after, unigram[place], (inward[word] + 1.0) / total)
+            loss = np.where(start | end, 0.0, -np.log(pairs[cell] + config.context_mass * share))
+            out.append(np.bincount(doc, loss + context * np.log(outward + config.context_mass)[word]))
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(out[0]), pa.array(out[1])], names=["_key", "_target", "_background"])
+
+    return sent.mapInArrow(run, "_key long, _target double, _background double")
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, config: LmConfig = LmConfig(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -100,19 +195,31 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, config: LmConfig = L
 
     The first token of a text has no context and is not scored.
     """
-    context = docs.sparkSession.sparkContext
-    top = count_words(docs, text_column).orderBy(F.desc("n"), "word").limit(config.vocabulary).toPandas()
+    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
+    whole = config.vocabulary is None
+    scratch = Scratch(spark, "op8")
+    words = scratch.write(count_words(docs, text_column))
+    top = words.orderBy(F.desc("n"), "word").limit(config.hot if whole else config.vocabulary).toPandas()
     vocabulary = np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
     width = len(vocabulary) + 1
+    size = words.count() + 1 if whole else width
+    scratch.drop(words)
     ids = target_ids.select(id_column).where(F.col(id_column).isNotNull()).distinct()
     few = ids.limit(config.broadcast_ids + 1).count() <= config.broadcast_ids
     ids = ids.withColumn("_target", F.lit(True))
     marked = docs.select(id_column, text_column).join(F.broadcast(ids) if few else ids, id_column, "left")
-    marked = marked.select(text_column, F.coalesce("_target", F.lit(False)).alias("_target"))
+    marked = marked.select(id_column, text_column, F.coalesce("_target", F.lit(False)).alias("_target"))
+    # Rows of one key are the same id and text; they are scored together.
+    marked = marked.withColumn("_key", F.xxhash64(id_column, F.col(id_column).isNull(), text_column))
     found = count_bigrams(marked, vocabulary, text_column, "_target").toPandas()
     table = np.zeros((2, width * width))
     table[0, found["cell"]], table[1, found["cell"]] = found["background"], found["target"]
-    shared = context.broadcast((vocabulary, [losses(table[k].reshape(width, width), config).astype(np.float32).ravel() for k in (1, 0)]))
+    table = table.reshape(2, width, width)[::-1]  # target, background
+    tables = np.stack([losses(t, config, size) for t in table])
+    if whole:  # cells with a rare word: only what the context's count adds is known here
+        tables[:, :, 0] = np.log(table.sum(2) + config.context_mass)
+        tables[:, 0, :] = 0.0
+    shared = context.broadcast((vocabulary, [t.astype(np.float32).ravel() for t in tables]))
 
     def run(it):
         known, tables = shared.value
@@ -126,11 +233,26 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, config: LmConfig = L
                 total = np.zeros(len(cell) + 1)
                 np.cumsum(values[cell], out=total[1:], dtype=np.float64)
                 begin = np.minimum(first[:-1], len(cell))
-                out.append((total[begin + scored] - total[begin]) / np.maximum(scored, 1))
+                out.append(total[begin + scored] - total[begin])
             yield pa.RecordBatch.from_arrays(
-                [B.column_of(rows, id_column), pa.array(np.diff(first)), pa.array(out[0]), pa.array(out[1]), pa.array(out[0] - out[1])],
-                names=[id_column, "n_tokens", "target_loss", "background_loss", "ce_difference"],
+                [B.column_of(rows, id_column), B.column_of(rows, "_key"), pa.array(np.diff(first)), pa.array(out[0]), pa.array(out[1])],
+                names=[id_column, "_key", "_tokens", "_target", "_background"],
             )
 
-    fields = T._parse_datatype_string("n_tokens long, target_loss double, background_loss double, ce_difference double").fields
-    return docs.select(id_column, text_column).mapInArrow(run, T.StructType([docs.schema[id_column], *fields]))
+    fields = T._parse_datatype_string("_key long, _tokens long, _target double, _background double").fields
+    made = marked.select(id_column, text_column, "_key").mapInArrow(run, T.StructType([docs.schema[id_column], *fields]))
+    if whole:
+        hot = context.broadcast([(t.sum() + size, unigrams(t, size)) for t in table])
+        sites = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sent = send_rare(marked.select(text_column, "_target", "_key"), context.broadcast(vocabulary), sites, text_column)
+        made = made.withColumn("_copies", F.lit(1)).unionByName(score_rare(sent, hot, config), allowMissingColumns=True)
+    else:
+        made = made.withColumn("_copies", F.lit(1))
+    sums = (F.sum(c).alias(c) for c in ("_copies", "_tokens", "_target", "_background"))
+    by_key = made.groupBy("_key").agg(F.max(id_column).alias("_id"), *sums)
+    scored = F.greatest(F.col("_tokens") - F.col("_copies"), F.lit(1))
+    rows = by_key.select(
+        F.explode(F.array_repeat("_id", F.col("_copies").cast("int"))).alias(id_column),
+        F.expr("_tokens div _copies").alias("n_tokens"), (F.col("_target") / scored).alias("target_loss"), (F.col("_background") / scored).alias("background_loss"),
+    )
+    return rows.withColumn("ce_difference", F.col("target_loss") - F.col("background_loss"))

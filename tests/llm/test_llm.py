@@ -198,6 +198,30 @@ def test_op8_against_plain_counts(spark):
         assert got[i].n_tokens == len(s) and np.allclose([got[i].target_loss, got[i].background_loss], want, atol=1e-5)
 
 
+@pytest.mark.parametrize("config", [op8.LmConfig(), op8.LmConfig(hot=4), op8.LmConfig(hot=0)])
+def test_op8_tells_all_words_apart(spark, config):
+    rng = random.Random(8)
+    texts = [*_hostile(), *(" ".join(f"w{int(rng.paretovariate(0.2)) % 5000}" for _ in range(n)) for n in (1, 2, 400, 3000, 3000, 3000))]
+    ids = [None, None, *range(len(texts) - 2)]
+    texts, ids = texts + texts[-2:] + ["a b"], ids + ids[-2:] + [None]  # rows that stand twice, another without id
+    target = {0, 5, 7, ids[-2]}
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    got = op8.score_documents(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"), config).collect()
+    seqs = [_words((t or "").lower()) for t in texts]
+    size = len({w for s in seqs for w in s}) + 1
+    assert size > 1500
+    tables = []
+    for own in ([s for i, s in zip(ids, seqs) if i in target], seqs):
+        pairs = [p for s in own for p in zip(s, s[1:])]
+        tables.append((Counter(pairs), Counter(a for a, _ in pairs), Counter(b for _, b in pairs), len(pairs)))
+    want = []
+    for i, s in zip(ids, seqs):
+        loss = [-sum(np.log((c[a, b] + 20 * (i_[b] + 1) / (n + size)) / (o[a] + 20)) for a, b in zip(s, s[1:])) / max(len(s) - 1, 1) for c, o, i_, n in tables]
+        want.append((-1 if i is None else i, len(s), *loss, loss[0] - loss[1]))
+    found = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got)
+    assert np.allclose(found, sorted(want), atol=1e-5)
+
+
 def test_learned_models_on_held_out_rows(spark):
     labels = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     for name, column in (("op1_rule_ensemble_quality", "quality"), ("op6_cnn_toxicity", "toxic")):
