@@ -74,7 +74,7 @@ def entity_merge(spark, sf):
 @query("select conv_id, string_agg(substr(text, 1, 20), ' ' order by turn) as narrative, count(*) as parts from conversations group by 1")
 def synthesis_merge(spark, sf):
     rows = _t(spark, sf, "conversations")
-    return rows.groupBy("conv_id").agg(M.joined_text(F.substring("text", 1, 20), ["turn"]).alias("narrative"), F.count(F.lit(1)).alias("parts"))
+    return rows.groupBy("conv_id").agg(M.joined_text(F.col("text"), ["turn"]).alias("narrative"), F.count(F.lit(1)).alias("parts"))
 
 
 @query("""with r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events where event_type in ('purchase', 'signup'))

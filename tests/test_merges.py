@@ -2,8 +2,11 @@ from pyspark.sql import functions as F
 
 from skald.operators import merges as M
 from skald.operators import model_calls
+from skald.plans.catalogue import QUERIES
 from skald.sources import yaml_docs
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_priority_union_keeps_order(spark):
     row = spark.sql("select array('B', 'a') as m, array('A', 'c') as o, cast(null as array<string>) as n")
@@ -73,3 +76,11 @@ def test_yaml_round_trip(spark, tmp_path):
     (tmp_path / "bad.yaml").write_text("a: [1")
     got = {r._file: (r.about, r.tags) for r in yaml_docs.read_yaml_docs(spark, str(tmp_path), "about string, tags array<string>").collect()}
     assert got == {"anna": ("Ämter", ["a", "b"]), "ben": (None, [])}
+
+
+def test_synthesis_merge_joins_whole_texts(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("turn").collect():
+        turns.setdefault(r.conv_id, []).append(r.text)
+    want = {k: (" ".join(t for t in texts if t is not None), len(texts)) for k, texts in turns.items()}
+    assert {r.conv_id: (r.narrative, r.parts) for r in QUERIES["synthesis_merge"](spark, SF).collect()} == want
