@@ -99,7 +99,7 @@ def merge_short_scenes(spark, sf):
 
 @query("select o_custkey, o_orderkey, epoch_us(o_orderdate) - epoch_us(lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) + interval 1 hour) as gap_us from orders qualify gap_us is not null")
 def scene_gaps(spark, sf):
-    return M.scene_gaps(_scenes(spark, sf), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderdate", "ended").select("o_custkey", "o_orderkey", "gap_us").where("gap_us is not null")
+    return M.scene_gaps(_scenes(spark, sf), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderdate", "ended").select("o_custkey", "o_orderkey", "gap_us")
 
 
 @query("select s_nationkey, coalesce(max(try_cast(regexp_extract(s_name, '([0-9]+)$', 1) as bigint)), -1) + 1 as next_index from supplier group by 1")

@@ -84,3 +84,14 @@ def test_synthesis_merge_joins_whole_texts(spark):
         turns.setdefault(r.conv_id, []).append(r.text)
     want = {k: (" ".join(t for t in texts if t is not None), len(texts)) for k, texts in turns.items()}
     assert {r.conv_id: (r.narrative, r.parts) for r in QUERIES["synthesis_merge"](spark, SF).collect()} == want
+
+
+def test_scene_gaps_has_a_row_for_every_scene(spark):
+    want, last = {}, {}
+    for r in spark.read.parquet(f"{SF}/orders.parquet").orderBy("o_orderdate", "o_orderkey").selectExpr("*", "unix_micros(cast(o_orderdate as timestamp)) as us").collect():
+        before = last.get(r.o_custkey)
+        want[r.o_custkey, r.o_orderkey] = None if before is None else r.us - before - 3_600_000_000
+        last[r.o_custkey] = r.us
+    got = QUERIES["scene_gaps"](spark, SF).collect()
+    assert {(r.o_custkey, r.o_orderkey): r.gap_us for r in got} == want and len(got) == len(want)
+    assert sum(r.gap_us is None for r in got) == len(last)
