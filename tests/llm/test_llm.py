@@ -162,6 +162,13 @@ def test_op3_pages():
     assert op3.main_text("plain") == "plain"
 
 
+def test_op3_pages_without_article(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    plain = [re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", h) for h in pages]
+    assert not any(re.search(r"(?i)<(article|main)\b", h) for h in plain)
+    assert all(p != h and op3.main_text(p) == op3.main_text(h) != "" for p, h in zip(plain, pages))
+
+
 def test_op9_finds_substituted_leaks_and_leaves_clean_texts(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
