@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 from .durable import Scratch
 
 
-def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node in ``links(a, b)``; root is the component's smallest node.
 
     Each round gives a node the smallest label among its neighbours and then
-    its label's own label, so chains shorten by halves.  Labels are written to
-    the shared folder each round; nothing is collected but one count.
+    its label's own label, so chains shorten by halves, however long they are.
+    Labels are written to the shared folder each round; nothing is collected
+    but whether a label moved.
     """
     both = scratch.write(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
-    for _ in range(max_rounds):
-        told = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        told = told.select("node", "heard")
-        best = label.join(told, "node").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
-        best = scratch.write(best)
+    while True:
+        told = both.join(label.select("node", "root"), both.b == F.col("node")).groupBy("a").agg(F.min("root").alias("heard"))
+        best = label.select("node", "root").join(told, F.col("node") == F.col("a"))
+        best = scratch.write(best.select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root")))
         up = best.select(F.col("node").alias("root"), F.col("root").alias("upper"))
         moved = scratch.write(best.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("upper", "root")).alias("root")))
+        settled = moved.where("root <> old").isEmpty()
         scratch.drop(label, best)
-        label = moved.select("node", "root")
-        if moved.where("root <> old").isEmpty():
+        label = moved
+        if settled:
+            scratch.drop(both)
             return label
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

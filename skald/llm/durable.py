@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
-_local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine) a temporary folder is made once.
-    """
+    """The folder named in ``spark.checkpoint.dir``; a machine's own folder never takes its place."""
     folder = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if folder:
         return folder
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="skald-")
-    return _local[app]
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"  # one machine: driver and executors are one process
+    raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
 
 
 class Scratch:
@@ -32,18 +26,27 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
+        self._tables: dict[int, tuple[DataFrame, str]] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write the rows and return them as read back: the lineage ends here."""
         self._made += 1
         to = f"{self.path}/{self._made:03d}"
         df.write.parquet(to)
-        return self.spark.read.schema(df.schema).parquet(to)
+        back = self.spark.read.schema(df.schema).parquet(to)
+        self._tables[id(back)] = back, to
+        return back
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing will read again."""
+        """Delete tables that nothing will read again; what is no table of this job stays."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
-            if f"/{self.path.rsplit('/', 1)[-1]}/" in folder:
+        for table in tables:
+            _, folder = self._tables.pop(id(table), (None, None))
+            if folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables of this job but these."""
+        keep = {id(t) for t in tables}
+        self.drop(*[t for t, _ in list(self._tables.values()) if id(t) not in keep])

@@ -14,18 +14,28 @@ than ``slack`` partitions empty.  Such a set (rare, small) emits the families
 of further independent splits as well, up to the first where it is well spread;
 its partner emits the first family always, so no link is lost.
 
-Equal sets are one node (a 64-bit fingerprint of the set).  Elements that no
-other candidate has bound what two nodes can share, so most pairs of a crowded
-group are ruled out by two counts.  Of the rest, nodes that share a signature
-are compared exactly with the group's most central node first; components of
-verified links then dissolve most groups, and only groups still holding several
-components get more leaders (8 times as many each round, to all if need be),
-so groups of copies never expand into all pairs and no link is lost.
+Equal sets are one node (a 64-bit fingerprint of the set).  Groups of nodes that
+share a signature and have the same members are one group.  Every node has a
+parity sketch, a bitmap in which each element flips one bit: the bits in which
+two sketches differ are never more than the elements in which their sets
+differ, so a pair whose sketches differ in more than the threshold allows is
+ruled out for certain, and few others pass.  Within a group, whose members fit
+in memory, only a spanning forest of the passing pairs is given out and each of
+its pairs is counted exactly; where one fails, its group gives out more pairs
+between what is not linked yet, in the end all of them.
+
+A group with more than ``crowd`` members first meets in blocks dealt at random.
+If verified links leave it in several components, its members are signed again
+with a fresh split of the domain: linked sets share one of these signatures as
+well, and a group that shares both is smaller.  What is still crowded after
+``levels`` such splits meets block by block, so no link is lost.
 
 Defined results: null or empty text gives an empty set, linked with nothing;
 fewer words than a shingle give the whole sequence as one shingle; repeated
 rows link as copies; a null id belongs to its component like any other row and
-never names it unless the whole component has no id.
+never names it unless the whole component has no id; columns other than id and
+text are not read, so their names cannot clash; an empty table gives no rows;
+very long texts are one set each, held by one task.
 """
 
 from __future__ import annotations
@@ -55,13 +65,17 @@ class JaccardJoin:
     #: Least mean number of elements under a signature; below it subsets of two of three cells are used.
     least_elements: float = 2.0
     families: int = 4
-    #: Least signatures kept with a node, to meet a pair at one of its signatures only.
-    sketch: int = 16
+    #: Most members of a group that meet in one task, and how often a larger one is signed again.
+    crowd: int = 4_096
+    levels: int = 2
+    #: Largest parity sketch; sets too large for it are ruled out less often, and counted.
+    most_bits: int = 1 << 18
     #: Up to so many ids are sent to all executors to pick texts out; beyond, ids and texts meet in a shuffle.
     broadcast_ids: int = 1_000_000
 
 
 _SALT = np.uint64(0xA0761D6478BD642F)
+_SKETCH = np.uint64(0xE7037ED1A0B428DB)
 
 
 @lru_cache(maxsize=None)
@@ -189,16 +203,28 @@ def fingerprints(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return B.mix64(total[at[1:]] - total[at[:-1]] + size * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _nodes(docs: DataFrame, join: JaccardJoin, id_column: str, text_column: str) -> DataFrame:
-    """(id, n_shingles, node): the node is null for an empty set."""
+def sketches(x: np.ndarray, at: np.ndarray, join: JaccardJoin) -> list[bytes]:
+    """Parity sketches of many sets, with eight to sixteen bits (up to ``most_bits``) for each element in which linked sets may differ."""
+    size = np.diff(at)
+    spare = np.maximum(size * (100 - join.percent) // join.percent, 32)
+    bits = np.minimum(np.left_shift(1, np.ceil(np.log2(8 * spare)).astype(np.int64)), join.most_bits)
+    base = B.running(bits)
+    place = np.repeat(base[:-1], size) + (B.mix64(x ^ _SKETCH) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(base[-1])) & 1).astype(bool)).tobytes()
+    return [packed[i // 8 : j // 8] for i, j in zip(base[:-1].tolist(), base[1:].tolist())]
+
+
+def _rows(docs: DataFrame, join: JaccardJoin, id_column: str, text_column: str) -> DataFrame:
+    """(id, n_shingles, node, sketch): node and sketch are null for an empty set."""
 
     def run(it):
         for rows, data, off in B.chunks(it, text_column):
             x, at = shingle_sets(data, off, join.words)
             size = np.diff(at)
-            yield pa.RecordBatch.from_arrays([B.column_of(rows, id_column), pa.array(size), pa.array(fingerprints(x, at), mask=size == 0)], names=[id_column, "n_shingles", "node"])
+            made = [pa.array(size), pa.array(fingerprints(x, at), mask=size == 0), pa.array(sketches(x, at, join), pa.binary(), mask=size == 0)]
+            yield pa.RecordBatch.from_arrays([B.column_of(rows, id_column), *made], names=[id_column, "n_shingles", "node", "sketch"])
 
-    out = T.StructType([docs.schema[id_column], *T._parse_datatype_string("n_shingles long, node long").fields])
+    out = T.StructType([docs.schema[id_column], *T._parse_datatype_string("n_shingles long, node long, sketch binary").fields])
     return docs.select(id_column, text_column).mapInArrow(run, out)
 
 
@@ -225,42 +251,175 @@ def _signatures_of(docs: DataFrame, join: JaccardJoin, text_column: str) -> Data
     return docs.select(text_column).mapInArrow(run, "sig long, node long")
 
 
-def _shared(it):
-    """From rows sorted by (sig, node): the distinct rows of every signature with several nodes.
+def _signed_again(sets: DataFrame, crowded: DataFrame, level: int, join: JaccardJoin) -> DataFrame:
+    """(sig, node): signatures of a fresh split, each under the crowded group in which it counts."""
+    salt = B.mix64(np.array([level + 1_000], np.uint64))
+
+    def run(it):
+        for batch in it:
+            for i in range(batch.num_rows):
+                x = np.sort(B.mix64(np.asarray(batch.column(1)[i].values).view(np.uint64) ^ salt))
+                sigs, _ = signatures(x, np.array([0, len(x)]), join)
+                groups = np.asarray(batch.column(2)[i].values).view(np.uint64)
+                both = B.mix64(groups[:, None] * np.uint64(3) + sigs[None, :]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0))[i], len(both)))], names=["sig", "node"])
+
+    # A node is in as many groups as it has signatures, at most.
+    held = crowded.groupBy("node").agg(F.collect_list("group").alias("groups"))
+    return sets.join(held, "node").select("node", "shingles", "groups").mapInArrow(run, "sig long, node long")
+
+
+def _grouped(it, crowd: int):
+    """From rows sorted by (sig, node): (group, node, crowded) of every signature with several nodes.
 
-    State is one row, so a group of any size passes through.
+    At most ``crowd`` nodes are held at once; a larger group passes through.
     """
-    last_sig = last_node = None
-    told = True  # whether the last row has been given out
+    told: set[int] = set()
+    kept: list[np.ndarray] = []
+    held, last, crowded = 0, None, False
+
+    def named(nodes: np.ndarray) -> list[tuple[int, np.ndarray, bool]]:
+        total = B.mix64(nodes.view(np.uint64)).sum(keepdims=True) ^ np.uint64(len(nodes))
+        own = int(B.mix64(total).view(np.int64)[0])
+        if own in told:
+            return []
+        told.add(own)
+        return [(own, nodes, False)]
+
+    def batch_of(out: list[tuple[int, np.ndarray, bool]]) -> pa.RecordBatch:
+        size = [len(nodes) for _, nodes, _ in out]
+        group, large = np.repeat(np.array([g for g, _, _ in out], np.int64), size), np.repeat([c for _, _, c in out], size)
+        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.concatenate([nodes for _, nodes, _ in out])), pa.array(large)], names=["group", "node", "crowded"])
+
     for batch in it:
         sig, node = (np.asarray(batch.column(i)) for i in range(2))
-        n = len(sig)
-        if not n:
+        if not len(sig):
             continue
-        new_sig, new_node = np.ones(n, bool), np.ones(n, bool)
-        new_sig[1:] = sig[1:] != sig[:-1]
-        new_node[1:] = new_sig[1:] | (node[1:] != node[:-1])
-        if last_sig is not None and sig[0] == last_sig:
-            new_sig[0] = False
-            new_node[0] = node[0] != last_node
-        start = np.flatnonzero(new_sig)
-        which = np.cumsum(new_sig)  # 0: goes on from the batch before
-        many = np.zeros(len(start) + 1, bool)
-        many[which[new_node & ~new_sig]] = True
-        out = (new_node & ~new_sig) | (new_sig & many[which])
-        out_sig, out_node = sig[out], node[out]
-        if many[0] and not told:
-            out_sig, out_node = np.append(out_sig, last_sig), np.append(out_node, last_node)
-        # The last group's only node so far waits for a second one.
-        told = bool(many[-1]) or (len(start) == 0 and told)
-        last_sig = sig[-1]
-        if len(start) or many[0]:
-            last_node = node[-1]
-        if len(out_sig):
-            yield pa.RecordBatch.from_arrays([pa.array(out_sig), pa.array(out_node)], names=["sig", "node"])
-
-
-def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, join: JaccardJoin, id_column: str, text_column: str) -> DataFrame:
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[fresh], node[fresh]
+        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        end = np.append(begin[1:], len(sig))
+        use = end - begin > 1  # and those that may go on in another batch
+        use[[0, -1]] = True
+        out = []
+        for a, b in zip(begin[use].tolist(), end[use].tolist()):
+            if sig[a] != last:
+                if held > 1 and not crowded:
+                    out += named(np.concatenate(kept))
+                kept, held, last, crowded = [], 0, int(sig[a]), False
+            part = node[a:b]
+            if kept and kept[-1][-1] == part[0]:  # goes on from the batch before
+                part = part[1:]
+                if not len(part):
+                    continue
+            held += len(part)
+            kept.append(part)
+            if crowded or held > crowd:
+                out.append((last, part if crowded else np.concatenate(kept), True))
+                kept, crowded = [part[-1:]], True
+        if out:
+            yield batch_of(out)
+    if held > 1 and not crowded and (rest := named(np.concatenate(kept))):
+        yield batch_of(rest)
+
+
+def _groups_of(signed: DataFrame, join: JaccardJoin) -> DataFrame:
+    """(group, node, crowded) of all signatures with several nodes.
+
+    Groups of the same members are one, named by them; one too large to be held
+    is named by its signature.
+    """
+    grouped = signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lambda it: _grouped(it, join.crowd), "group long, node long, crowded boolean")
+    return grouped.dropDuplicates()
+
+
+def _apart(sketch: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
+
+
+def forest(n: np.ndarray, sketch: list[bytes], root: np.ndarray, join: JaccardJoin, most: int) -> list[tuple[int, int]]:
+    """Pairs of members of one group that may be linked: a spanning forest of them over the roots, or up to ``most`` for each member."""
+    least = min(map(len, sketch))
+    flat = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, least // 8), 0) for s in sketch])
+    bits = 8 * least
+    out: list[tuple[int, int]] = []
+
+    def passing(i: int, others: np.ndarray, share: float) -> np.ndarray:
+        """Those of the others whose estimated (share < 1) or least possible (share 1) distance is small enough."""
+        allowed = (n[others] + n[i]) * (100 - join.percent) // (100 + join.percent)
+        far = _apart(flat, i, others)
+        if share < 1:
+            guess = -0.5 * bits * np.log(np.maximum(1 - 2 * far / bits, 1e-9))
+            return others[(far <= allowed) & (guess <= share * allowed)]
+        return others[far <= allowed]
+
+    if most > 1:
+        order = np.arange(len(n))
+        for i in range(len(n) - 1):
+            later = order[i + 1 :]
+            out += [(i, int(j)) for j in passing(i, later[root[later] != root[i]], 1.0)[:most]]
+        return out
+    label = np.unique(root, return_inverse=True)[1]
+    for share in (0.9, 1.0):  # likely links first, so that few pairs of the forest fail
+        waiting = np.ones(len(n), bool)
+        while waiting.any():
+            first = int(np.flatnonzero(waiting)[0])
+            queue = np.flatnonzero(label == label[first]).tolist()
+            waiting[queue] = False
+            while queue:
+                i = queue.pop()
+                others = np.flatnonzero(waiting)
+                if not len(others):
+                    break
+                for j in passing(i, others, share).tolist():
+                    if waiting[j]:
+                        out.append((i, j))
+                        joined = np.flatnonzero(label == label[j])
+                        label[joined] = label[i]
+                        waiting[joined] = False
+                        queue += joined.tolist()
+            waiting &= label != label[first]
+    return out
+
+
+def _pairs_of(members: DataFrame, join: JaccardJoin, most: int) -> DataFrame:
+    """(a, b): pairs to be verified, of members (group, node, n, sketch, root) of groups that each fit in memory."""
+
+    def run(it):
+        left: list[pa.RecordBatch] = []
+        for batch in it:
+            group = np.asarray(batch.column(0))
+            if not len(group):
+                continue
+            last = int(np.searchsorted(group, group[-1], "left"))
+            if last:
+                yield from met(pa.Table.from_batches([*left, batch.slice(0, last)]))
+                left = []
+            left.append(batch.slice(last))
+            if left[0].column(0)[0].as_py() != group[-1]:
+                yield from met(pa.Table.from_batches(left[:-1]))
+                left = left[-1:]
+        if left:
+            yield from met(pa.Table.from_batches(left))
+
+    def met(table: pa.Table):
+        group, node, n, root = (table.column(i).to_numpy() for i in (0, 1, 2, 4))
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        out = []
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(group)]):
+            if b - a > 1 and (root[a:b] != root[a]).any():
+                own = node[a:b]
+                out += [(own[i], own[j]) for i, j in forest(n[a:b], table.column(3).slice(a, b - a).to_pylist(), root[a:b], join, most)]
+        if out:
+            both = np.sort(np.array(out, np.int64), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    dealt = members.select("group", "node", "n", "sketch", "root").repartition("group").sortWithinPartitions("group", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, join: JaccardJoin, id_column: str, text_column: str) -> DataFrame:
     """(node, shingles) of the wanted nodes, from the texts of one row of each."""
 
     def run(it):
@@ -270,95 +429,101 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, join: JaccardJo
                 [pa.array(fingerprints(x, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)))], names=["node", "shingles"]
             )
 
-    one = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(id_column).alias(id_column))
-    ids = one.where(F.col(id_column).isNotNull()).select(id_column).distinct()
-    ids = F.broadcast(ids) if nodes.limit(join.broadcast_ids + 1).count() <= join.broadcast_ids else ids
+    ids = nodes.join(wanted, "node", "left_semi").where(F.col("id").isNotNull()).select(F.col("id").alias(id_column)).distinct()
+    ids = F.broadcast(ids) if wanted.limit(join.broadcast_ids + 1).count() <= join.broadcast_ids else ids
     texts = docs.select(id_column, text_column)
     picked = texts.join(ids, id_column, "left_semi")
     picked = picked.unionByName(texts.where(F.col(id_column).isNull()))
     made = picked.mapInArrow(run, "node long, shingles array<long>")
-    return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def link_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def link_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin(), id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(id, n_shingles, component_id) for every row; component_id is the smallest id reachable by links."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    rows = scratch.write(_nodes(docs, join, id_column, text_column))
-    signed = _signatures_of(docs, join, text_column)
-    groups = scratch.write(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"))
-    roots = _components(docs, rows, groups, join, scratch, id_column, text_column)
-    named = rows.withColumn("root", F.col("node"))
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    rows = scratch.write(_rows(docs, join, id_column, text_column))
+    # Copies become one row before anything is joined by node.
+    one = rows.where("node is not null").groupBy("node").agg(F.min(id_column).alias("id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    nodes = scratch.write(one)
+    roots = _components(docs, nodes, join, scratch, id_column, text_column)
+    least = nodes.select("node", F.col("id").alias("component_id"))
     if roots is not None:
-        named = rows.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = scratch.write(named.select(id_column, "n_shingles", "root"))
-    several = named.where("root is not null").groupBy("root").agg(F.min(id_column).alias("component_id"), F.count(F.lit(1)).alias("n"))
-    several = scratch.write(several.where("n > 1").select("root", "component_id"))
-    return named.join(several, "root", "left").select(id_column, "n_shingles", F.coalesce("component_id", id_column).alias("component_id"))
+        roots = roots.select("node", "root")
+        named = nodes.select("node", "id").join(roots, "node").groupBy("root").agg(F.min("id").alias("linked_id"))
+        linked = roots.join(named, "root").select("node", "linked_id")
+        least = least.join(linked, "node", "left").select("node", F.coalesce("linked_id", "component_id").alias("component_id"))
+    found = rows.select(id_column, "n_shingles", "node").join(least, "node", "left")
+    out = scratch.write(found.select(id_column, "n_shingles", F.coalesce("component_id", id_column).alias("component_id")))
+    scratch.keep_only(out)
+    return out
 
 
-def _components(docs, rows, groups, join: JaccardJoin, scratch: Scratch, id_column: str, text_column: str) -> DataFrame | None:
+def _components(docs, nodes, join: JaccardJoin, scratch: Scratch, id_column: str, text_column: str) -> DataFrame | None:
     """(node, root) of all nodes with a link; None if there is no link."""
-    least = F.slice(F.sort_array(F.collect_list("sig")), 1, join.sketch).alias("keys")
-    members = scratch.write(groups.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), least))
-    if members.isEmpty():
-        return None
-    sets = scratch.write(_sets_of(docs, rows, members.select("node"), join, id_column, text_column))
-    facts = scratch.write(_facts(sets, members, join))
-    held = scratch.write(groups.join(facts, "node").select("sig", "node", "n", "own", "shared", "keys"))
-    first = held.groupBy("sig").agg(F.min(F.struct("own", -F.col("shared"), "node", "n")).alias("f"), F.count(F.lit(1)).alias("size"))
-    first = scratch.write(first.where("size > 1").select("sig", F.col("f.node").alias("x"), F.col("f.n").alias("x_n"), F.col("f.own").alias("x_own")))
-    pairs = first.join(held, "sig").where((F.col("x") != F.col("node")) & _possible(join))
-    pairs = scratch.write(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-    tested, links, roots, leaders, below = pairs, None, None, 8, 0
-    while True:
-        found = scratch.write(_verified(pairs, sets, join))
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            roots = connected_components(links, scratch)
-        now = held
-        if roots is not None:
-            now = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    about = nodes.select("node", "n", "sketch")
+    signed, links, roots = _signatures_of(docs, join, text_column), None, None
+    sets_of = lambda wanted: scratch.write(_sets_of(docs, nodes, wanted, join, id_column, text_column))
+
+    def with_roots(members: DataFrame) -> DataFrame:
+        if roots is None:
+            return members.withColumn("root", F.col("node"))
+        return members.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def resolve(groups: DataFrame) -> None:
+        """Verify links in groups (group, node) until no passing pair of theirs can add any."""
+        nonlocal links, roots
+        groups = scratch.write(groups.join(about, "node").select("group", "node", "n", "sketch"))
+        tested = None
+        for most in (1, 16, 8 * join.crowd):
+            pairs = _pairs_of(with_roots(groups), join, most)
+            pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            if pairs.isEmpty():
+                continue
+            sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+            found = scratch.write(_verified(pairs, sets, join))
+            scratch.drop(sets)
+            failed = scratch.write(pairs.join(found, ["a", "b"], "left_anti"))
+            tested = pairs if tested is None else tested.union(pairs)
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                before, roots = roots, connected_components(links, scratch)
+                if before is not None:
+                    scratch.drop(before)
+            if tested is pairs and failed.isEmpty():
+                break
+            # Only groups that hold a pair that failed may have links not found yet.
+            touched = groups.join(failed.select(F.col("a").alias("node"), "b"), "node").select("group", F.col("b").alias("node"))
+            touched = touched.join(groups.select("group", "node"), ["group", "node"]).select("group").distinct()
+            if tested is pairs:
+                all_groups, groups = groups, scratch.write(groups.join(touched, "group", "left_semi"))
+                scratch.drop(all_groups)
+        scratch.drop(groups)
+
+    for level in range(join.levels + 1):
+        all_groups = scratch.write(_groups_of(signed, join))
+        crowded = all_groups.where("crowded").select("group", "node")
+        calm = all_groups.where("not crowded").select("group", "node")
+        none = crowded.isEmpty()
+        if not none:
+            size = crowded.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+            blocks = crowded.join(size, "group").withColumn("blocks", F.ceil(F.col("size") / (join.crowd // 2)))
+            blocks = scratch.write(blocks.withColumn("block", F.pmod(F.xxhash64("node", "group"), F.col("blocks"))))
+            calm = calm.union(blocks.select(F.xxhash64("group", "block").alias("group"), "node"))
+        resolve(calm)
+        if none:
+            break
+        mixed = with_roots(blocks).groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group")
+        blocks = scratch.write(blocks.join(mixed, "group", "left_semi"))
+        if blocks.isEmpty():
+            break
+        if level == join.levels:
+            other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            met = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other"))
+            resolve(other.select(met.alias("group"), "node"))
         else:
-            now = held.withColumn("root", F.col("node"))
-        open_ = now.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
-        open_ = scratch.write(open_.where("lo <> hi").select("sig", "size"))
-        place = F.xxhash64("node", F.lit(5)) / F.lit(2.0**64) + 0.5
-        now = scratch.write(now.join(open_, "sig").select("sig", "node", "n", "own", "root", "keys", (place * F.col("size")).alias("turn")))
-        if now.where(F.col("turn") >= below).isEmpty():
-            return roots
-        chosen = now.where((F.col("turn") >= below) & (F.col("turn") < leaders))
-        chosen = chosen.select("sig", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("x_own"), F.col("root").alias("x_root"), F.col("keys").alias("x_keys"), F.col("turn").alias("x_turn"))
-        # A pair is met in the turn of its earlier node.
-        later = (F.col("turn") > F.col("x_turn")) | ((F.col("turn") == F.col("x_turn")) & (F.col("node") > F.col("x")))
-        more = chosen.join(now, "sig").where(later & (F.col("root") != F.col("x_root")) & _possible(join) & _once())
-        more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        pairs = scratch.write(more.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
-        below, leaders = leaders, leaders * 8
-
-
-def _facts(sets: DataFrame, members: DataFrame, join: JaccardJoin) -> DataFrame:
-    """(node, n, own, shared, keys) of the nodes that could have a partner: ``own`` elements are in no other candidate."""
-    each = sets.select("node", F.explode("shingles").alias("element"))
-    lone = each.groupBy("element").agg(F.count(F.lit(1)).alias("seen"), F.min("node").alias("node")).where("seen = 1")
-    own = lone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    known = sets.select("node", F.size("shingles").cast("long").alias("n")).join(own, "node", "left").join(members, "node")
-    known = known.select("node", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "shared", "keys")
-    # The best partner has just the elements that are not its own.
-    return known.where(F.lit(100) * (F.col("n") - F.col("own")) >= F.lit(join.percent) * F.col("n"))
-
-
-def _once():
-    """Whether this signature stands for the pair: the least that both have among their least ones, or any if none is."""
-    both = F.array_intersect("keys", "x_keys")
-    return (F.size(both) == 0) | (F.array_min(both) == F.col("sig"))
-
-
-def _possible(join: JaccardJoin):
-    """Whether the elements that the two may share can reach the threshold."""
-    both = F.least(F.col("n") - F.col("own"), F.col("x_n") - F.col("x_own"))
-    return F.lit(100 + join.percent) * both >= F.lit(join.percent) * (F.col("n") + F.col("x_n"))
+            crowd = blocks.select("group", "node")
+            signed = _signed_again(sets_of(crowd.select("node").distinct()), crowd, level, join)
+    return roots
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
@@ -377,13 +542,14 @@ def keep_one_of_each(docs: DataFrame, join: JaccardJoin = JaccardJoin(words=5, p
     without an id cannot be told apart and all stay.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.write(link_sets(docs, join, id_column, text_column).where(F.col(id_column).isNotNull()))
+    found = link_sets(docs, join, id_column, text_column, scratch).where(F.col(id_column).isNotNull())
     repeated = found.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_column)
     # An id met twice with different texts leaves only if both of its texts have another representative.
     named = found.where(F.col("component_id") == F.col(id_column)).select(id_column)
     gone = found.where(F.col("component_id") != F.col(id_column)).select(id_column).distinct()
     gone = scratch.write(gone.join(named, id_column, "left_anti"))
     repeated = scratch.write(repeated.join(gone, id_column, "left_anti"))
+    scratch.keep_only(gone, repeated)
     once = without(docs, gone, id_column, join.broadcast_ids)
     if repeated.isEmpty():
         return once

@@ -74,12 +74,18 @@ def _components(texts, k, percent):
         w = _words((t or "").translate(fold))
         sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
     root = list(range(len(texts)))
-    for _ in texts:
-        for i in range(len(texts)):
-            for j in range(i):
-                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                    root[i] = root[j] = min(root[i], root[j])
-    return [(len(s), r) for s, r in zip(sets, root)]
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return [(len(s), top(i)) for i, s in enumerate(sets)]
 
 
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
@@ -106,16 +112,71 @@ def test_op4_signatures_lose_no_pair():
                 assert len(np.intersect1d(sigs[: at[1]], sigs[at[1] :]))
 
 
-def test_op4_shared_rows_across_batches():
+def test_op4_groups_across_batches():
     rng = random.Random(2)
     for _ in range(300):
-        rows = sorted((rng.randint(0, 5), rng.randint(0, 3)) for _ in range(rng.randint(0, 20)))
+        crowd = rng.choice([2, 3, 100])
+        rows = sorted((rng.randint(0, 5), rng.randint(0, 6)) for _ in range(rng.randint(0, 30)))
         cut = [0, *sorted(rng.randint(0, len(rows)) for _ in range(4)), len(rows)]
         parts = [rows[a:b] for a, b in zip(cut, cut[1:])]
         its = (pa.RecordBatch.from_arrays([pa.array([r[c] for r in p], pa.int64()) for c in (0, 1)], names=["sig", "node"]) for p in parts)
-        got = sorted(x for b in op4._shared(its) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        own = {s: {n for t, n in rows if t == s} for s, _ in rows}
-        assert got == sorted((s, n) for s, v in own.items() if len(v) > 1 for n in v)
+        got: dict = {}
+        for batch in op4._grouped(its, crowd):
+            for group, node, crowded in zip(*(c.to_pylist() for c in batch.columns)):
+                got.setdefault((group, crowded), []).append(node)
+        own = {s: sorted({n for t, n in rows if t == s}) for s, _ in rows}
+        assert all(g in own for g, crowded in got if crowded)
+        assert sorted(v for (_, c), v in got.items() if c) == sorted(v for v in own.values() if len(v) > crowd)
+        assert sorted(v for (_, c), v in got.items() if not c) == [list(v) for v in sorted({tuple(v) for v in own.values() if 1 < len(v) <= crowd})]
+
+
+def _near_and_passage(copies=150):
+    """Near copies just over and under the threshold, and unlike texts that share a passage."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(150)]
+    texts = _hostile()
+    for _ in range(copies):
+        t = list(base)
+        for i in rng.sample(range(150), rng.randint(1, 7)):
+            t[i] = word()
+        texts.append(" ".join(t))
+        texts.append(" ".join([word() for _ in range(rng.randint(1, 150))] + passage + [word() for _ in range(rng.randint(1, 40))]))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("k,percent,crowd,levels", [(3, 90, 4096, 2), (3, 90, 20, 1), (5, 80, 8, 0), (5, 80, 4096, 2)])
+def test_op4_crowded_groups(spark, k, percent, crowd, levels):
+    texts = _near_and_passage(90)
+    ids = [None if i % 11 == 3 else i for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op4.link_sets(docs, op4.JaccardJoin(k, percent, crowd=crowd, levels=levels)).where("doc_id is not null").collect()}
+    want = _components(texts, k, percent)
+    named: dict = {}
+    for i, (_, root) in zip(ids, want):
+        if i is not None:
+            named[root] = min(named.get(root, i), i)
+    assert got == {i: (n, named[root]) for i, (n, root) in zip(ids, want) if i is not None}
+
+
+def test_op4_sketches_bound_the_difference():
+    rng, join = np.random.default_rng(4), op4.JaccardJoin(percent=80)
+    for _ in range(100):
+        x = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[int(rng.integers(0, 60)) :], rng.integers(0, 2**63, int(rng.integers(0, 60)), dtype=np.uint64)]))
+        a, b = (np.frombuffer(s, np.uint64) for s in op4.sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), join))
+        least = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(s.reshape(-1, least), 0) for s in (a, b))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_op4_empty_table_and_repeated_ids(spark):
+    assert op4.link_sets(_docs(spark, []).limit(0)).count() == op4.keep_one_of_each(_docs(spark, ["a"]).limit(0)).count() == 0
+    same, other = "a b c d e f g h", "i j k l m n o p"
+    docs = spark.createDataFrame([(1, same), (1, same), (2, same), (2, other), (None, same), (None, None), (3, None)], "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in op4.keep_one_of_each(docs).collect())
+    assert [i for i, _ in kept] == [0, 0, 1, 2, 3] and (1, same) in kept
 
 
 def test_op7_equals_the_tokenizers_library(spark):
