@@ -219,15 +219,57 @@ def test_op3_pages():
     page = lambda b: f"<html><head><title>t</title></head><body>{b}</body></html>"
     assert op3.main_text(None) == op3.main_text("") == op3.main_text(page('<div class="ad">x</div>')) == ""
     assert op3.main_text(page("<nav><a>m</a></nav><article><h1>A &amp; b</h1><p><b>c\n d<br><p>e<script>x</script></article><footer>f</footer>")) == "A & b c d e"
-    assert op3.main_text(page('<main><p>First text, here.</p><section class="comments"><p>no</p></section><form><p>no</p></form></main><aside>no</aside>')) == "First text, here."
+    long = "Some words of the article, and then some more of them. " * 5
+    assert op3.main_text(page(f'<main><p>{long}</p><section class="comments"><p>no</p></section><form><p>no</p></form></main><aside>no</aside>')) == long.strip()
     assert op3.main_text("plain") == "plain"
+    assert op3.main_text("<main><p>aa.</p><svg/><p>bb.</p></main>") == op3.main_text("<main><p>aa.</p><object><p>bb.</p></main>") == "aa. bb."
+    assert op3.main_text('<p title="the hidden truth">x y.</p><div id="share-prices"><p>Prices rose.</p></div><div hidden><p>no</p></div>') == "x y. Prices rose."
+    assert op3.main_text("a < b <p>c") == "a < b c" and op3.main_text("<p>a<!-- never closed <p>b") == "a"
 
 
-def test_op3_pages_without_article(spark):
-    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+def test_op3_ratios_decide_and_names_of_articles_do_not(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     plain = [re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", h) for h in pages]
-    assert not any(re.search(r"(?i)<(article|main)\b", h) for h in plain)
-    assert all(p != h and op3.main_text(p) == op3.main_text(h) != "" for p, h in zip(plain, pages))
+    texts = [op3.main_text(h) for h in pages]
+    assert all(texts) and [op3.main_text(h) for h in plain] == texts
+    monkeypatch.setattr(op3, "fused_ratios", lambda page, config: np.ones(len(page.blocks)))
+    assert sum(op3.main_text(h) != t for h, t in zip(pages, texts)) > len(pages) // 3
+
+
+def test_op3_ratios_against_plain_sums():
+    page = "<ul><li><a>one, two</a><li>three. x</ul><div><h1>T</h1><p>A b, c. D</p><p>E f; g!</p><p>h</p></div><p>tail</p>"
+    paths = ["ul/li", "ul/li", "div/h1", "div/p", "div/p", "div/p", "p"]
+    texts = ["one, two", "three. x", "T", "A b, c. D", "E f; g!", "h", "tail"]
+    marks = [1, 1, 0, 2, 2, 0, 0]
+    config = op3.TagPathConfig(sigma=0.5)
+    read = op3.read_page(page, config)
+    assert [b.text for b in read.blocks] == texts
+    own = lambda x, p: [v for v, q in zip(x, paths) if q == p]
+    length = [sum(map(len, own(texts, p))) / len(own(texts, p)) for p in paths]
+    points = [(sum(own(marks, p)) + 1) / len(own(marks, p)) for p in paths]
+    free = [1 - 8 / 16 if p == "ul/li" else 1.0 for p in paths]
+    kernel = {d: np.exp(-0.5 * (d / 0.5) ** 2) for d in (-2, -1, 0, 1, 2)}
+    smooth = lambda x, i: sum(kernel[d] * x[i + d] for d in kernel if 0 <= i + d < len(x)) / sum(kernel.values())
+    want = [smooth(length, i) * smooth(points, i) * free[i] for i in range(len(paths))]
+    assert np.allclose(op3.fused_ratios(read, config), want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<div>" * 50_000 + "</p></li>" * 20_000, "<a " * 80_000, '<a b="' * 80_000 + ">", "<svg>" * 80_000, "<ul><li>x" * 20_000 + "</ul>" * 20_000, "<div><section>" * 20_000 + "</div>" * 20_000, "<div><p>t</p>" * 30_000])
+def test_op3_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    op3.main_text(page)
+    assert time.process_time() - began < 4
+
+
+def test_op3_tables(spark):
+    rows = [(1, "u", None, 5), (2, None, "", 5), (3, "u", "<p>a b.</p>", 5), (3, "u", "<p>a b.</p>", 5), (None, "u", "<p>" + "word " * 200_000, 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")  # text: clashes with the result
+    got = sorted((r.page_id or 0, r.url, r.text if r.page_id else len(r.text), r.n_chars) for r in op3.extract_text(pages).collect())
+    assert [g[0] for g in got] == [0, 1, 2, 3, 3] and got[0][2:] == (999_999, 999_999)
+    assert [g[2:] for g in got[1:]] == [("", 0), ("", 0), ("a b.", 4), ("a b.", 4)]
+    assert op3.extract_text(pages.limit(0)).count() == 0
 
 
 def test_op9_finds_substituted_leaks_and_leaves_clean_texts(spark):
