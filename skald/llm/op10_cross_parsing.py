@@ -1,21 +1,28 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
-For each language a suffix automaton is built of a bounded reference text.  A
-document is parsed greedily into the longest phrases that occur in that text;
-the language that needs the fewest phrases, normalised by the reference's
-length (log2) and the document's letters, wins.  Phrases end at the latest
-with their word, so the phrases of a word do not depend on its neighbours:
-distinct words are parsed once per chunk, all in step, and documents add up
-the counts of their words.
+For each language a suffix automaton is built of the whole texts of a bounded
+number of labelled rows.  A document becomes its letters in lower case with one
+gap between words, and is parsed greedily into the longest phrases that occur
+in that text, across words; a letter that the text lacks is a phrase of its
+own.  The language that needs the fewest phrases, normalised by the reference's
+length (log2) and the document's letters, wins.
+
+The parses of all documents of a chunk go in step: a document is cut into
+segments that are parsed from their first letter at the same time.  Where the
+phrase that enters a segment ends elsewhere, the segment is parsed again from
+there until it meets a phrase border found before; from that border on both
+parses are the same.  So the phrases counted are those of one parse from the
+document's first letter to its last.
 
 Defined results: ``und`` with score 0 for a null text or one without letters;
 ties go to the language first in alphabetical order; without any labelled row
-every row is ``und``.
+every row is ``und``.  Repeated rows are judged alike; an id that stands twice
+with different languages counts for both; only id, text and lang are read, so
+other columns cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -26,23 +33,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import batches as B
-from .sampling import held_out, sample_ids
+from .sampling import held_out, rows_of, sample_ids
 
 CHUNK_BYTES = 4 << 20
 
-#: Letters of a word parsed together; a longer word is cut there.
-_WORD = 48
+#: Symbols of an automaton: 0 stands for what its reference lacks, and for the end of a text.
+_LACKING = 0
+
+#: Most cells of a dense table of transitions; a larger automaton (many letters) keeps them in a hash table.
+_DENSE = 1 << 24
 
 
 @dataclass(frozen=True)
 class CrossParsing:
-    """Bounds of the reference text of each language."""
-
-    documents: int = 150
-    letters: int = 40_000
-    letters_per_document: int = 1_500
-    #: Most letters told apart; rarer ones count as one unknown letter.
-    alphabet: int = 250
+    #: Labelled rows per language whose whole texts are the reference, at most.
+    documents: int = 40
+    #: Rows with longer texts are not taken for the reference (they are judged whole, like all).
+    reference_chars: int = 20_000
+    #: Letters of a document parsed in step with others.
+    segment: int = 256
 
 
 @cache
@@ -51,145 +60,204 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
-def _codes(text: str, alphabet: np.ndarray) -> np.ndarray:
-    """0 for no letter, 1 for a letter outside the alphabet, else its number."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.minimum(points, 0xFFFF)
-    codes = alphabet[low]
+def spelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts: letters in lower case, 0 for each gap, and -1 after each text; and n+1 offsets."""
+    padded = [f" {t.lower()}  " for t in texts]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    off = B.running(np.array([len(t) for t in padded], np.int64))
+    letter = _letters()[np.minimum(points, 0xFFFF)]
     high = np.flatnonzero(points > 0xFFFF)
     if len(high):
-        codes = codes.copy()
-        codes[high] = [chr(c).isalpha() for c in points[high].tolist()]
-    return codes
-
-
-def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton of a sequence; -1 for none, state 0 first."""
-    nxt: list[dict[int, int]] = [{}]
-    link, length = [-1], [0]
-    last = 0
-    for c in codes:
-        cur = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][c]
-            if length[q] == length[p] + 1:
-                link[cur] = q
-            else:
-                twin = len(nxt)
-                nxt.append(dict(nxt[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p != -1 and nxt[p].get(c) == q:
-                    nxt[p][c] = twin
-                    p = link[p]
-                link[q] = link[cur] = twin
-        last = cur
-    table = np.full((len(nxt), symbols), -1, np.int32)
-    for state, moves in enumerate(nxt):
-        for c, to in moves.items():
-            table[state, c] = to
-    return table
+        letter[high] = [chr(c).isalpha() for c in points[high].tolist()]
+    points[~letter] = 0
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[off[:-1]] = True
+    points[off[1:] - 1], keep[off[1:] - 1] = -1, True
+    return points[keep], B.running(keep)[off]
+
+
+class Automaton:
+    """Suffix automaton of a sequence of code points (0 for a gap)."""
+
+    def __init__(self, points: np.ndarray):
+        self.known = np.unique(points)
+        self.width = len(self.known) + 1
+        codes = (np.searchsorted(self.known, points) + 1).tolist()
+        moves: list[dict[int, int]] = [{}]
+        link, length = [-1], [0]
+        last = 0
+        for c in codes:
+            cur = len(moves)
+            moves.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            p = last
+            while p != -1 and c not in moves[p]:
+                moves[p][c] = cur
+                p = link[p]
+            if p != -1:
+                q = moves[p][c]
+                if length[q] == length[p] + 1:
+                    link[cur] = q
+                else:
+                    twin = len(moves)
+                    moves.append(dict(moves[q]))
+                    link.append(link[q])
+                    length.append(length[p] + 1)
+                    while p != -1 and moves[p].get(c) == q:
+                        moves[p][c] = twin
+                        p = link[p]
+                    link[q] = link[cur] = twin
+            last = cur
+        #: A state without any transition.
+        self.dead = len(moves)
+        count = [len(m) for m in moves]
+        cells = np.repeat(np.arange(len(moves), dtype=np.int64), count) * self.width
+        cells += np.fromiter((c for m in moves for c in m), np.int64, len(cells))
+        targets = np.fromiter((to for m in moves for to in m.values()), np.int64, len(cells))
+        self.dense = None
+        if (len(moves) + 1) * self.width <= _DENSE:
+            self.dense = np.full((len(moves) + 1) * self.width, -1, np.int32)
+            self.dense[cells] = targets
+        else:
+            self._fill(cells.astype(np.uint64), targets.astype(np.uint64))
+
+    def symbols(self, points: np.ndarray) -> np.ndarray:
+        """The symbols of code points as ``spelled`` gives them."""
+        low = np.zeros(0x10000, np.int64)
+        low[self.known[self.known < 0x10000]] = 1 + np.flatnonzero(self.known < 0x10000)
+        out = low[np.clip(points, 0, 0xFFFF)]
+        odd = np.flatnonzero((points < 0) | (points >= 0xFFFF))
+        at = np.minimum(np.searchsorted(self.known, points[odd]), len(self.known) - 1)
+        out[odd] = np.where(self.known[at] == points[odd], at + 1, _LACKING)
+        return out
+
+    def _fill(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.table = np.uint64(64 - bits), np.zeros((1 << bits) + 64, np.uint64)
+        entry, place = (keys + np.uint64(1)) << np.uint64(24) | targets, self._place(keys)
+        left = np.arange(len(keys))
+        while len(left):  # each free place takes one of those that want it
+            free = left[self.table[place[left]] == 0]
+            self.table[place[free]] = entry[free]
+            left = left[self.table[place[left]] != entry[left]]
+            place[left] += 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where each state goes with its symbol; -1 for nowhere."""
+        if self.dense is not None:
+            return self.dense[state * self.width + symbol]
+        key = (state * self.width + symbol).astype(np.uint64)
+        place, want = self._place(key), key + np.uint64(1)
+        entry = self.table[place]
+        out = np.where(entry >> np.uint64(24) == want, (entry & np.uint64(0xFFFFFF)).astype(np.int64), -1)
+        left = np.flatnonzero((out < 0) & (entry != 0))
+        while len(left):
+            place[left] += 1
+            entry = self.table[place[left]]
+            hit = entry >> np.uint64(24) == want[left]
+            out[left[hit]] = (entry[hit] & np.uint64(0xFFFFFF)).astype(np.int64)
+            left = left[~hit & (entry != 0)]
+        return out
+
+    def parse(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, borders: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that start before ``end``, where the last one ends) of parses from ``begin``, all in step.
+
+        ``borders`` gets the number of each phrase at its start.  With ``known``
+        results of the parses that left these borders, a parse that meets one
+        takes over what follows it.
+        """
+        n = len(begin)
+        phrases, exits = np.zeros(n, np.int64), begin.copy()
+        lane = np.flatnonzero(begin < end)
+        at, state, count = begin[lane], np.full(len(lane), self.dead), np.zeros(len(lane), np.int64)
+        while len(lane):
+            symbol = codes[at]
+            to = self.step(state, symbol)
+            miss = np.flatnonzero(to < 0)
+            if len(miss):
+                place = at[miss]
+                over = place >= end[lane[miss]]
+                met = borders[place] if known else None
+                if known:
+                    joins = ~over & (met >= 0)
+                    own = miss[joins]
+                    phrases[lane[own]] = count[own] + known[0][lane[own]] - met[joins]
+                    exits[lane[own]] = known[1][lane[own]]
+                    gone = over | joins
+                else:
+                    gone = over
+                out = miss[over]
+                phrases[lane[out]], exits[lane[out]] = count[out], at[out]
+                new = miss[~gone]
+                if not known:
+                    borders[at[new]] = count[new]
+                count[new] += 1
+                first = self.step(np.zeros(len(new), np.int64), symbol[new])  # from the root
+                to[new] = np.where(first < 0, self.dead, first)
+                if gone.any():
+                    stay = np.ones(len(lane), bool)
+                    stay[miss[gone]] = False
+                    lane, at, to, count = lane[stay], at[stay], to[stay], count[stay]
+            state = to.astype(np.int64)
+            at = at + 1
+        return phrases, exits
+
+    def phrases(self, points: np.ndarray, off: np.ndarray, segment: int) -> np.ndarray:
+        """Phrases of each text's whole parse; texts are as ``spelled`` gives them."""
+        codes = self.symbols(points)
+        size = off[1:] - 1 - off[:-1]
+        pieces = -(-size // segment)
+        text = np.repeat(np.arange(len(size)), pieces)
+        nth = np.arange(len(text)) - np.repeat(B.running(pieces)[:-1], pieces)
+        begin = off[text] + nth * segment
+        end = np.minimum(begin + segment, off[text + 1] - 1)
+        borders = np.full(len(codes), -1, np.int32)
+        spec = self.parse(codes, begin, end, borders)
+        count, exits, entry = spec[0].copy(), spec[1].copy(), begin.copy()
+        later = np.flatnonzero(nth > 0)
+        while len(redo := later[entry[later] != exits[later - 1]]):
+            entry[redo] = exits[redo - 1]
+            count[redo], exits[redo] = self.parse(codes, entry[redo], end[redo], borders, (spec[0][redo], spec[1][redo]))
+        return np.bincount(text, count, len(size)).astype(np.int64)
 
 
 @dataclass
 class Languages:
-    """What is learned: names, the alphabet, and a suffix automaton each."""
+    """What is learned: names and an automaton each."""
 
     names: list[str]
-    alphabet: np.ndarray
-    tables: list[np.ndarray]
+    automata: list[Automaton]
     weights: np.ndarray  # log2 of the reference lengths
+    segment: int
 
     @classmethod
     def learn(cls, texts: dict[str, list[str]], config: CrossParsing = CrossParsing()) -> Languages:
-        seen: Counter[str] = Counter()
-        parts: dict[str, str] = {}
+        """Learn from whole texts; one that is repeated counts once."""
+        parts = {}
         for name in sorted(texts):
-            words: list[str] = []
-            size = 0
-            for text in texts[name]:
-                taken = 0
-                for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
-                    if taken >= config.letters_per_document or size >= config.letters:
-                        break
-                    words.append(word)
-                    taken += len(word)
-                    size += len(word)
-            if words:
-                parts[name] = " ".join(words)
-                seen.update(parts[name])
-        alphabet = np.zeros(0x10000, np.uint8)
-        alphabet[_letters()] = 1
-        common = sorted((c for c in seen if c != " " and ord(c) < 0x10000), key=lambda c: (-seen[c], c))[: config.alphabet]
-        for i, c in enumerate(common):
-            alphabet[ord(c)] = i + 2
-        symbols = len(common) + 2
-        tables = []
-        for text in parts.values():
-            tables.append(suffix_automaton(_codes(f" {text} ", alphabet).tolist(), symbols))
-        return cls(list(parts), alphabet, tables, np.log2([max(2, len(t)) for t in parts.values()]))
-
-    def phrases(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases [word, language] of words given as rows of codes, longest first."""
-        n, out = len(words), np.zeros((len(words), len(self.names)), np.int64)
-        for k, table in enumerate(self.tables):
-            flat, width = table.ravel(), table.shape[1]
-            state = np.full(n, max(0, table[0, 0]), np.int64)  # a word begins where a gap ends
-            count = np.ones(n, np.int64)
-            for j in range(words.shape[1]):
-                m = int(np.searchsorted(-size, -j, "left"))  # words longer than j
-                if not m:
-                    break
-                c = words[:m, j].astype(np.int64)
-                to = flat[state[:m] * width + c]
-                miss = np.flatnonzero(to < 0)
-                if len(miss):
-                    count[miss] += 1
-                    to[miss] = np.maximum(flat[c[miss]], 0)
-                state[:m] = to
-            out[:, k] = count
-        return out
+            points, _ = spelled(list(dict.fromkeys(texts[name])))
+            if (points > 0).any():
+                points = points[points >= 0]
+                parts[name] = points[np.append(True, (points[1:] > 0) | (points[:-1] > 0))]  # one gap between texts
+        weights = np.log2([max(2, len(p)) for p in parts.values()])
+        return cls(list(parts), [Automaton(p) for p in parts.values()], weights, config.segment)
 
     def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
         texts = column.to_pylist()
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        if not self.names:
-            return names, scores
-        lower = [(t or "").lower() for t in texts]
-        codes = _codes("".join(lower), self.alphabet)
-        off = B.running([len(t) for t in lower])
-        apart = np.zeros(256, bool)
-        apart[0] = True
-        starts, ends, _ = B.word_spans(codes, off, apart)
-        long = np.flatnonzero(ends - starts > _WORD)
-        if len(long):
-            cut = [np.arange(a + _WORD, b, _WORD) for a, b in zip(starts[long], ends[long])]
-            starts, ends = np.sort(np.concatenate([starts, *cut])), np.sort(np.concatenate([ends, *cut]))
-        if not len(starts):
+        if not self.names or not texts:
             return names, scores
-        first = np.searchsorted(starts, off)
-        h = B.span_hashes(codes, starts, ends)
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        size = ends[at] - starts[at]
-        order = np.argsort(-size, kind="stable")
-        size = size[order]
-        place = np.minimum(starts[at][order][:, None] + np.arange(int(size[0])), len(codes) - 1)
-        words = np.where(np.arange(int(size[0])) < size[:, None], codes[place], 0)
-        counts = np.empty((len(at), len(self.names)), np.int64)
-        counts[order] = self.phrases(words, size)
-        total = np.zeros((len(starts) + 1, len(self.names)), np.int64)
-        np.cumsum(counts[which], axis=0, out=total[1:])
-        letters = B.running(codes > 0)
-        letters = letters[off[1:]] - letters[off[:-1]]
-        rate = (total[first[1:]] - total[first[:-1]]) * self.weights / np.maximum(letters, 1)[:, None]
+        points, off = spelled([t or "" for t in texts])
+        letters = B.running(points > 0)[off]
+        letters = letters[1:] - letters[:-1]
+        total = np.stack([a.phrases(points, off, self.segment) for a in self.automata], 1)
+        rate = total * self.weights / np.maximum(letters, 1)[:, None]
         best = rate.argmin(1)
         low = rate[np.arange(len(rate)), best]
         rate[np.arange(len(rate)), best] = np.inf
@@ -202,15 +270,14 @@ class Languages:
 
 def learn_languages(docs: DataFrame, config: CrossParsing = CrossParsing(), id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Languages:
     """Learn from labelled rows that are not held out (crc32 of the id, mod 5, is 0)."""
-    rows = docs.where(~held_out(id_column, 5, 0) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
+    rows = docs.select(id_column, lang_column, text_column)
+    rows = rows.where(~held_out(id_column, 5, 0) & F.col(lang_column).isNotNull() & (F.length(text_column) <= config.reference_chars))
     ids = sample_ids(rows, id_column, lang_column, config.documents)
     wanted = [i for group in ids.values() for i in group]
     if not wanted:
         return Languages.learn({}, config)
-    head = F.substring(text_column, 1, 4 * config.letters_per_document)
-    found = rows.where(F.col(id_column).isin(wanted)).select(id_column, lang_column, head).collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (str(r[1]), r[0], r[2])):
+    for r in sorted(rows_of(rows, wanted, id_column).collect(), key=lambda r: (str(r[1]), r[0], r[2])):
         texts.setdefault(r[1], []).append(r[2])
     return Languages.learn(texts, config)
 

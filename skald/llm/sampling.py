@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def held_out(id_column: str, modulus: int, remainder: int) -> Column:
@@ -29,3 +30,9 @@ def sample_ids(rows: DataFrame, id_column: str, class_column: str, per_class: in
         if len(out[r[1]]) < per_class:
             out[r[1]].append(r[0])
     return out
+
+
+def rows_of(rows: DataFrame, ids: list, id_column: str) -> DataFrame:
+    """The rows with one of these ids, a bounded sample's, sent to all executors."""
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([rows.schema[id_column]]))
+    return rows.join(F.broadcast(wanted), id_column, "left_semi")

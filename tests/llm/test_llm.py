@@ -332,6 +332,49 @@ def test_op8_tells_all_words_apart(spark, config):
     assert np.allclose(found, sorted(want), atol=1e-5)
 
 
+@pytest.mark.parametrize("segment,dense", [(256, True), (16, True), (16, False)])
+def test_op10_against_naive_parse(monkeypatch, segment, dense):
+    if not dense:
+        monkeypatch.setattr(op10, "_DENSE", 0)
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 9)))
+    train = {"aa": [" ".join(word("abcdeé") for _ in range(120)) for _ in range(3)], "bb": [" ".join(word("abxyz") for _ in range(120)) for _ in range(3)]}
+    texts = [" ".join(word("abcdexyzé漢") for _ in range(n)) for n in (1, 5, 50, 300)] + [train["aa"][1], train["bb"][0][7:], "x" * 900, "", "-- ..", "𐐀𐐁 a", "A-B 1c"]
+
+    def spell(t):
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        return " " + "".join(w + " " for w in words)
+
+    def naive(reference, t):
+        i = n = 0
+        while i < len(t):
+            size = 1
+            while i + size < len(t) and t[i : i + size + 1] in reference:
+                size += 1
+            i, n = i + (size if t[i] in reference else 1), n + 1
+        return n
+
+    model = op10.Languages.learn({k: v + v[:1] for k, v in train.items()}, op10.CrossParsing(segment=segment))
+    got = np.stack([a.phrases(*op10.spelled(texts), segment) for a in model.automata], 1)
+    references = [" " + "".join(spell(t)[1:] for t in train[name]) for name in model.names]
+    assert got.tolist() == [[naive(r, spell(t)) for r in references] for t in texts]
+    names, scores = model.judge(pa.array([*texts, None]))
+    letters = [sum(c.isalpha() for c in t.lower()) for t in texts]
+    rates = [[p * np.log2(len(r)) for p, r in zip(own, references)] for own in got.tolist()]
+    assert names == [model.names[int(np.argmin(r))] if n else "und" for r, n in zip(rates, letters)] + ["und"]
+    assert all(0 <= x <= 1 for x in scores)
+
+
+def test_op10_odd_tables(spark):
+    rows = [(None, "le chat", "fr"), (7, "the cat sat", "en"), (7, "the cat sat", "en"), (8, "le chat dort", "fr"), (9, None, "fr"), (10, "the cat " * 60_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = op10.learn_languages(docs)
+    got = {(r.doc_id, r.lang_pred) for r in op10.predict_language(docs, model).collect()}
+    assert got == {(None, "fr"), (7, "en"), (8, "fr"), (9, "und"), (10, "en")}
+    assert op10.predict_language(docs.limit(0), model).count() == 0
+    assert {r.lang_pred for r in op10.predict_language(docs, op10.learn_languages(docs.limit(0))).collect()} == {"und"}
+
+
 def test_learned_models_on_held_out_rows(spark):
     labels = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     for name, column in (("op1_rule_ensemble_quality", "quality"), ("op6_cnn_toxicity", "toxic")):
