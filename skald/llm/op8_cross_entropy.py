@@ -10,12 +10,16 @@ Pairs of the most frequent words are counted in a table of fixed size per task
 and scored from a broadcast of it.  Every other pair holds a rarer word and
 goes, packed by text chunk, to the partition of that word, where all its
 occurrences meet: counts of the word and its pairs are complete there, and what
-each document gains or loses by them is sent back and added up.  A word that
-is not among the most frequent is too rare to make one partition heavy.
+each document gains or loses by them is sent back, packed by text chunk again,
+and added up.  A word that is not among the most frequent is too rare to make
+one partition heavy; a partition's occurrences are held in memory, so shuffle
+partitions are to grow with the input.
 
 Defined results: a null or empty text has no tokens and zero losses; an empty
 target makes both models uniform over what smoothing leaves; one unseen word
-counts as part of the vocabulary.  A caller may cap the vocabulary; the words
+counts as part of the vocabulary; repeated rows count and are scored each; very
+long texts are one chunk each; an empty table gives no rows; only id and text
+are read, so other columns cannot clash.  A caller may cap the vocabulary; the words
 past the cap (ties are cut by word hash) are then that one word.
 """
 
@@ -38,7 +42,8 @@ SENT_BYTES = 1 << 22
 #: Neighbours that are no rare word: nothing before, a frequent word before (its place), and the same after the word.
 _START, _AFTER = np.uint64(0), np.uint64(1 << 32)
 
-_SENT = "site int, word binary, other binary, keys binary, counts binary, targets binary"
+_SENT = "site int, chunk long, word binary, other binary, keys binary, counts binary, targets binary"
+_BACK = "chunk long, keys binary, target binary, background binary"
 
 
 @dataclass(frozen=True)
@@ -111,6 +116,12 @@ def unigrams(counts: np.ndarray, size: int | None = None) -> np.ndarray:
     return (counts.sum(0) + 1.0) / (counts.sum() + (size or len(counts)))
 
 
+def _packed(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, kinds = zip(*(part.split() for part in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for v, k in zip(zip(*rows), kinds)], names=list(names))
+
+
 def send_rare(docs: DataFrame, hot, sites: int, text_column: str) -> DataFrame:
     """Occurrences of words that are not hot, with their neighbours, dealt by word over the sites.
 
@@ -145,32 +156,32 @@ def send_rare(docs: DataFrame, hot, sites: int, text_column: str) -> DataFrame:
             keys = np.asarray(B.column_of(rows, "_key"))[row]
             targets = np.asarray(B.column_of(rows, "_target").to_pylist(), np.uint8)[row]
             cuts = np.flatnonzero(np.diff(site, prepend=-1))
+            chunk = int(B.mix64(np.asarray(B.column_of(rows, "_key")).view(np.uint64)[:1]).view(np.int64)[0])  # any number that the chunk's rows share
             out = []
             for lo, hi in zip(cuts, [*cuts[1:], len(site)]):
                 inner = slice(heads[lo], heads[hi] if hi < len(heads) else len(place))
-                out.append((int(site[lo]), *(x.tobytes() for x in (word[inner], other[inner], keys[lo:hi], counts[lo:hi], targets[lo:hi]))))
+                out.append((int(site[lo]), chunk, *(x.tobytes() for x in (word[inner], other[inner], keys[lo:hi], counts[lo:hi], targets[lo:hi]))))
             if out:
-                types = [pa.int32()] + [pa.binary()] * 5
-                names = [part.split()[0] for part in _SENT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
+                yield _packed(_SENT, out)
 
     return docs.mapInArrow(run, _SENT).repartitionById(sites, "site")
 
 
 def score_rare(sent: DataFrame, shared, config: LmConfig) -> DataFrame:
-    """(key, target, background): what documents' losses gain at each site; every word's rows are in one partition."""
+    """Packed (key, target, background): what documents' losses gain at each site; every word's rows are in one partition."""
 
     def run(it):
-        parts = [[], [], [], [], []]
+        chunks, parts = [], [[], [], [], [], []]
         for batch in it:
-            for part, column, kind in zip(parts, batch.columns[1:], (np.uint64, np.uint64, np.int64, np.int32, np.uint8)):
+            chunks += batch.column(1).to_pylist()
+            for part, column, kind in zip(parts, batch.columns[2:], (np.uint64, np.uint64, np.int64, np.int32, np.uint8)):
                 part.extend(np.frombuffer(x.as_buffer(), kind) for x in column)
-        if not parts[0]:
+        if not chunks:
             return
+        at = B.running([len(x) for x in parts[2]])  # a chunk's documents
         word, other, keys, counts, targets = (np.concatenate(p) for p in parts)
         hot = shared.value  # for both models: total with smoothing, unigrams of the hot words
-        known, doc = np.unique(keys, return_inverse=True)
-        doc = np.repeat(doc, counts)
+        doc = np.repeat(np.arange(len(keys)), counts)
         after = (other >= _AFTER) & (other <= _AFTER + np.uint64(len(hot[0][1])))
         start, end = other == _START, other == _AFTER
         cell = np.unique(B.mix64(word + B.mix64(other ^ np.uint64(0x9E3779B97F4A7C15))), return_inverse=True)[1]
@@ -184,10 +195,22 @@ def score_rare(sent: DataFrame, shared, config: LmConfig) -> DataFrame:
             pairs = np.bincount(cell, weight)
             share = np.where(after, unigram[place], (inward[word] + 1.0) / total)
             loss = np.where(start | end, 0.0, -np.log(pairs[cell] + config.context_mass * share))
-            out.append(np.bincount(doc, loss + context * np.log(outward + config.context_mass)[word]))
-        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(out[0]), pa.array(out[1])], names=["_key", "_target", "_background"])
+            out.append(np.bincount(doc, loss + context * np.log(outward + config.context_mass)[word], len(keys)))
+        for i in range(0, len(chunks), 256):
+            rows = [(chunks[k], *(x[at[k] : at[k + 1]].tobytes() for x in (keys, *out))) for k in range(i, min(i + 256, len(chunks)))]
+            yield _packed(_BACK, rows)
+
+    def add(it):
+        parts = [[], [], []]
+        for batch in it:
+            for part, column, kind in zip(parts, batch.columns[1:], (np.int64, np.float64, np.float64)):
+                part.extend(np.frombuffer(x.as_buffer(), kind) for x in column)
+        if parts[0]:
+            keys, *gains = (np.concatenate(p) for p in parts)
+            known, doc = np.unique(keys, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(known), *(pa.array(np.bincount(doc, g)) for g in gains)], names=["_key", "_target", "_background"])
 
-    return sent.mapInArrow(run, "_key long, _target double, _background double")
+    return sent.mapInArrow(run, _BACK).repartition("chunk").mapInArrow(add, "_key long, _target double, _background double")
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, config: LmConfig = LmConfig(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
