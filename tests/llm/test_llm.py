@@ -197,22 +197,48 @@ def test_op7_equals_the_tokenizers_library(spark):
     assert {r.doc_id: r.text for r in again} == {i: t or "" for i, t in enumerate(texts)} and all(r.decodes for r in again)
 
 
-def test_op2_law(spark):
-    docs = _docs(spark, _hostile() * 20, list(range(20 * len(_hostile()))))
+def _draw(key, shard, weight=1.0):
+    h = int(hashlib.md5(f"{key}/s{shard}".encode()).hexdigest()[:12], 16)
+    return -np.log((h + 0.5) / 2.0**48) / weight
+
+
+def _descend(key, n, weights=None):
+    """Region, rack and shard by the smallest draw, written out: two racks a region, two shards a rack."""
+    draws = [_draw(key, i, (weights or {}).get(i, 1.0)) for i in range(n)]
+    regions = [range(a, min(a + 4, n)) for a in range(0, n, 4)]
+    region = min(regions, key=lambda r: min(draws[i] for i in r))
+    racks = [range(a, min(a + 2, region.stop)) for a in range(region.start, region.stop, 2)]
+    return min(min(racks, key=lambda r: min(draws[i] for i in r)), key=lambda i: draws[i])
+
+
+def test_op2_against_plain_descent(spark):
+    texts = _hostile() * 20
+    ids = [None if i % 17 == 5 else i // 2 if i % 5 == 0 else i for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in zip(ids, texts)], "doc_id long, text string, shard int, size int")  # clashing names
     got = op2.shard_documents(docs).collect()
-    for r in got:
-        assert r.grown_shard in (r.shard, 8)
+    crc = lambda t: zlib.crc32((t or "").encode())
+    key = lambda i: "" if i is None else str(i)
+    want = sorted((key(i), len((t or "").encode()) + 1, crc(t), _descend(key(i), 8), _descend(key(i), 9)) for i, t in zip(ids, texts))
+    assert sorted((key(r.doc_id), r.size, r.text_crc32, r.shard, r.grown_shard) for r in got) == want
+    assert {r.law for r in got} == {"key"}
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    texts = _hostile() * 20
-    assert all(r.size == len((texts[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in got)
+    assert op2.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_op2_one_more_shard_takes_rows_only_into_itself(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"))
+    for n in range(1, 21):
+        moved = op2.placed(rows, "doc_id", n).where("shard <> grown_shard").collect()
+        assert moved and {r.grown_shard for r in moved} == {n}, n
 
 
-def test_op2_weights_move_only_their_subtree(spark):
-    rows = spark.range(3000).select(F.col("id").cast("string").alias("t"))
-    old, new = op2.tree(8), op2.tree(8, weights={5: 3.0})
-    got = rows.select(op2.place(F.col("t"), old).alias("a"), op2.place(F.col("t"), new).alias("b")).where("a <> b").collect()
-    assert got and all(r.b in range(4, 8) for r in got)  # into the region of shard 5, never out of it or between others
+def test_op2_weights_move_rows_only_into_their_shard(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"))
+    old = {r.doc_id: r.shard for r in op2.placed(rows, "doc_id", 8).collect()}
+    new = {r.doc_id: r.shard for r in op2.placed(rows, "doc_id", 8, {5: 3.0, 2: 0.0}).collect()}
+    assert all(new[i] == 5 or old[i] == 2 for i in old if old[i] != new[i]) and 2 not in new.values()
+    assert abs(sum(s == 5 for s in new.values()) / 3000 - 3 / 9) < 0.04
 
 
 def test_op3_pages():
