@@ -312,6 +312,48 @@ def test_op9_finds_substituted_leaks_and_leaves_clean_texts(spark):
     assert sorted(r.doc_id for r in op9.drop_contaminated(_docs(spark, texts), bench).collect()) == [0, 1, 4, 5, 6]
 
 
+def test_op9_masks_hit_every_window_that_counts():
+    from itertools import combinations
+
+    seeds = op9.SpacedSeeds()
+    allowed = seeds.window * (100 - seeds.least_percent) // 100
+    for gone in combinations(range(seeds.window), allowed):
+        hits = [o for m in seeds.masks for o in range(seeds.window - len(m) + 1) if all(m[i] == "0" or o + i not in gone for i in range(len(m)))]
+        assert hits, gone
+
+
+def test_op9_against_all_windows(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcd", k=2))
+    items = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 14, 20, 30)] + ["", None, "!?"]
+
+    def noisy(text):
+        w = (text or "").split()
+        for _ in range(rng.randint(0, 3)):
+            if w:
+                w[rng.randrange(len(w))] = word()
+        cut = rng.randint(0, max(0, len(w) - 12))
+        return " ".join([word() for _ in range(rng.randint(0, 9))] + w[cut:] + [word() for _ in range(rng.randint(0, 9))])
+
+    texts = [noisy(rng.choice(items)).upper() for _ in range(150)] + [None, "", items[14]]
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            x, y = tokens(t), tokens(item)
+            n = min(13, len(y))
+            best = max((sum(a == b for a, b in zip(x[p : p + n], y[q : q + n])) for p in range(len(x) - n + 1) for q in range(len(y) - n + 1)), default=0) if n else 0
+            if n and 100 * best >= 80 * n:
+                want[i, k] = best, n
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = _docs(spark, texts).withColumn("_gone", F.lit(1)).withColumn("h", F.lit(2)).withColumn("doc", F.lit(3))
+    got = {(r.doc_id, r.item_id): (r.n_agree, r.n_window) for r in op9.contaminated_pairs(docs, bench).collect()}
+    assert got == want and len({k for _, k in want}) == 15
+    kept = op9.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
+    assert op9.drop_contaminated(docs, bench.limit(0)).count() == len(texts) and op9.contaminated_pairs(docs.limit(0), bench).count() == 0
+
+
 def test_op8_against_plain_counts(spark):
     texts = ["a b a c", "a b", None, "", "c c c a", "b"]
     config = op8.LmConfig(vocabulary=2)
