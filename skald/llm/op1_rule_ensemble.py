@@ -8,7 +8,10 @@ column expression, so scoring is a projection without Python.
 
 Defined results: null and empty texts have all statistics 0 and are scored
 like any other; without labels of both classes the score is the base rate of
-the sample (1 without any, so that nothing is rejected unseen).
+the sample (1 without any, so that nothing is rejected unseen); an id with both
+labels counts as good; repeated rows are scored each; a score equal to the
+threshold passes; an empty table gives no rows; very long texts are scored
+whole; private columns get names that the table does not use.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import held_out, sample_ids
+from .sampling import held_out, rows_of, sample_ids
 
 
 @dataclass(frozen=True)
@@ -36,8 +39,9 @@ class RuleConfig:
     threshold: float = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a text, all doubles; white space is ASCII white space."""
+def statistics(text: Column, mark: str = "_q") -> dict[str, Column]:
+    """Named statistics of a text, all doubles; white space is ASCII white space.  Words and lines are columns ``<mark>_words`` and ``<mark>_lines``."""
+    w, l = f"{mark}_words", f"{mark}_lines"
     t = F.coalesce(text, F.lit(""))
     chars = F.length(t).cast("double")
 
@@ -50,18 +54,18 @@ def statistics(text: Column) -> dict[str, Column]:
 
     words = F.array_remove(F.split(t, "[ \\t-\\r]+"), "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    n_words, n_lines = F.size("_w").cast("double"), F.size("_l").cast("double")
+    n_words, n_lines = F.size(w).cast("double"), F.size(l).cast("double")
     ascii_upper, ascii_lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     return {
-        "_w": words,
-        "_l": lines,
+        w: words,
+        l: lines,
         "n_words": n_words,
         "log_words": F.log1p(n_words),
         "word_chars": share(chars - count(" \t\n\r"), n_words),
-        "distinct_words": share(F.size(F.array_distinct("_w")).cast("double"), n_words),
+        "distinct_words": share(F.size(F.array_distinct(w)).cast("double"), n_words),
         "n_lines": n_lines,
         "line_words": share(n_words, n_lines),
-        "distinct_lines": share(F.size(F.array_distinct("_l")).cast("double"), n_lines),
+        "distinct_lines": share(F.size(F.array_distinct(l)).cast("double"), n_lines),
         "upper": share(count(ascii_upper), chars),
         "lower": share(count(ascii_lower), chars),
         "digits": share(count(digits), chars),
@@ -75,13 +79,15 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def with_statistics(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, list[str]]:
-    """The rows with private columns ``_q_<statistic>``, and the statistics' names."""
-    made = statistics(F.col(text_column))
-    lists = {k: v for k, v in made.items() if k in ("_w", "_l")}
-    docs = docs.withColumns(lists)
-    rest = {k: v for k, v in made.items() if k not in lists}
-    return docs.withColumns({f"_q_{k}": v for k, v in rest.items()}).drop("_w", "_l"), list(rest)
+def with_statistics(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, list[str], str]:
+    """The rows with private columns ``<mark>_<statistic>``, the statistics' names, and the mark that no column of theirs begins with."""
+    mark = "_q"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "q"
+    made = statistics(F.col(text_column), mark)
+    lists = {k: v for k, v in made.items() if k.startswith(mark)}
+    rest = {f"{mark}_{k}": v for k, v in made.items() if k not in lists}
+    return docs.withColumns(lists).withColumns(rest).drop(*lists), [k for k in made if k not in lists], mark
 
 
 #: A rule: conditions (statistic, "<=" or ">", value), all of which must hold.
@@ -117,13 +123,13 @@ class RuleEnsemble:
             z += w * _holds(rule, x)
         return 1 / (1 + np.exp(-z))
 
-    def score(self) -> Column:
+    def score(self, mark: str = "_q") -> Column:
         """The score as an expression over the private statistics columns."""
         z = F.lit(self.intercept)
         for rule, w in zip(self.rules, self.weights):
             holds = None
             for k, above, value in rule:
-                c = F.col(f"_q_{self.names[k]}")
+                c = F.col(f"{mark}_{self.names[k]}")
                 one = c > F.lit(value) if above else c <= F.lit(value)
                 holds = one if holds is None else holds & one
             z = z + F.when(holds, F.lit(w)).otherwise(F.lit(0.0))
@@ -209,26 +215,27 @@ def learn_quality(docs: DataFrame, labels: DataFrame, config: RuleConfig = RuleC
     """Learn from a bounded sample of labelled rows that are not held out (crc32 of the id, mod 5, is 0)."""
     ids = sample_ids(labels.where(~held_out(id_column, 5, 0)), id_column, label_column, config.per_class)
     label_of = {i: int(y) for y, own in ids.items() for i in own}
-    names = [k for k in statistics(F.col(text_column)) if not k.startswith("_")]
+    names = [k for k in statistics(F.col(text_column)) if not k.startswith("_q")]
     if not label_of:
         return RuleEnsemble.fit(np.zeros((0, len(names))), np.zeros(0), names, config)
-    rows = docs.select(id_column, text_column).where(F.col(id_column).isin(list(label_of)))
-    with_q, names = with_statistics(rows, text_column)
-    found = with_q.select(id_column, *(f"_q_{n}" for n in names)).toPandas().sort_values([id_column, *(f"_q_{n}" for n in names)])
+    with_q, names, mark = with_statistics(rows_of(docs.select(id_column, text_column), list(label_of), id_column), text_column)
+    columns = [f"{mark}_{n}" for n in names]
+    found = with_q.select(id_column, *columns).toPandas().sort_values([id_column, *columns])
     y = found[id_column].map(label_of).to_numpy()
-    return RuleEnsemble.fit(found.drop(columns=id_column).to_numpy(float), y, names, config)
+    return RuleEnsemble.fit(found[columns].to_numpy(float), y, names, config)
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, held_out, score and predicted."""
-    rows, _ = with_statistics(docs.select(id_column, text_column), text_column)
-    scored = rows.select(id_column, held_out(id_column, 5, 0).alias("held_out"), model.score().alias("score"))
+    rows, _, mark = with_statistics(docs.select(id_column, text_column), text_column)
+    scored = rows.select(id_column, held_out(id_column, 5, 0).alias("held_out"), model.score(mark).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= model.threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, text_column: str = "text") -> DataFrame:
     """The rows whose score reaches the threshold, with the columns they came with."""
-    rows, _ = with_statistics(docs, text_column)
-    # The row number keeps the filter above the projection: pushed below, it would work out every statistic once per rule.
-    scored = rows.select(*docs.columns, model.score().alias("_q_score"), F.monotonically_increasing_id().alias("_q_row"))
-    return scored.where(F.col("_q_score") >= model.threshold).select(docs.columns)
+    rows, _, mark = with_statistics(docs, text_column)
+    # The row number in it keeps the filter above the projection: pushed below, it would work out every statistic once per rule.
+    score = model.score(mark) + F.lit(0.0) * F.monotonically_increasing_id()
+    scored = rows.select(*docs.columns, score.alias(f"{mark}_score"))
+    return scored.where(F.col(f"{mark}_score") >= model.threshold).select(docs.columns)
