@@ -419,23 +419,32 @@ def _pairs_of(members: DataFrame, join: JaccardJoin, most: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, join: JaccardJoin, id_column: str, text_column: str) -> DataFrame:
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, join: JaccardJoin, scratch: Scratch, id_column: str, text_column: str) -> DataFrame:
     """(node, shingles) of the wanted nodes, from the texts of one row of each."""
 
     def run(it):
+        seen: set[int] = set()
         for _, data, off in B.chunks(it, text_column):
             x, at = shingle_sets(data, off, join.words)
+            made = fingerprints(x, at)
+            new = [i for i, node in enumerate(made.tolist()) if not (node in seen or seen.add(node))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(fingerprints(x, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)))], names=["node", "shingles"]
-            )
+                [pa.array(made), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)))], names=["node", "shingles"]
+            ).take(pa.array(new, pa.int64()))
 
-    ids = nodes.join(wanted, "node", "left_semi").where(F.col("id").isNotNull()).select(F.col("id").alias(id_column)).distinct()
-    ids = F.broadcast(ids) if wanted.limit(join.broadcast_ids + 1).count() <= join.broadcast_ids else ids
+    few = wanted.limit(join.broadcast_ids + 1).count() <= join.broadcast_ids
+    near = F.broadcast if few else (lambda df: df)
+    ids = nodes.join(near(wanted), "node", "left_semi").where(F.col("id").isNotNull()).select(F.col("id").alias(id_column)).distinct()
     texts = docs.select(id_column, text_column)
-    picked = texts.join(ids, id_column, "left_semi")
+    picked = texts.join(near(ids), id_column, "left_semi")
     picked = picked.unionByName(texts.where(F.col(id_column).isNull()))
-    made = picked.mapInArrow(run, "node long, shingles array<long>")
-    return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    made = scratch.write(picked.mapInArrow(run, "node long, shingles array<long>").join(near(wanted), "node", "left_semi"))
+    if made.count() == made.select("node").distinct().count():
+        return made
+    # Rows without an id, or with the same one, may give a set more than once.
+    once = scratch.write(made.dropDuplicates(["node"]))
+    scratch.drop(made)
+    return once
 
 
 def link_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin(), id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -462,7 +471,7 @@ def _components(docs, nodes, join: JaccardJoin, scratch: Scratch, id_column: str
     """(node, root) of all nodes with a link; None if there is no link."""
     about = nodes.select("node", "n", "sketch")
     signed, links, roots = _signatures_of(docs, join, text_column), None, None
-    sets_of = lambda wanted: scratch.write(_sets_of(docs, nodes, wanted, join, id_column, text_column))
+    sets_of = lambda wanted: _sets_of(docs, nodes, wanted, join, scratch, id_column, text_column)
 
     def with_roots(members: DataFrame) -> DataFrame:
         if roots is None:
@@ -479,25 +488,37 @@ def _components(docs, nodes, join: JaccardJoin, scratch: Scratch, id_column: str
             pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
             if pairs.isEmpty():
                 continue
-            sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-            found = scratch.write(_verified(pairs, sets, join))
-            scratch.drop(sets)
-            failed = scratch.write(pairs.join(found, ["a", "b"], "left_anti"))
+            verify(pairs)
+            # Of a pair that failed the nodes may still be linked by others; only where they are not, links may be missing.
+            apart = scratch.write(_apart_pairs(pairs, with_roots))
+            if tested is None and apart.isEmpty():
+                break
+            # Only groups that hold such a pair may have links not found yet.
+            if tested is None:
+                touched = groups.join(apart.select(F.col("a").alias("node"), "b"), "node").select("group", F.col("b").alias("node"))
+                touched = touched.join(groups.select("group", "node"), ["group", "node"]).select("group").distinct()
+                whole, groups = groups, scratch.write(groups.join(touched, "group", "left_semi"))
+                scratch.drop(whole)
             tested = pairs if tested is None else tested.union(pairs)
+        scratch.drop(groups)
+
+    def verify(pairs: DataFrame) -> None:
+        """Add the links among the pairs: first one pair for each node, then those whose nodes are not linked by then."""
+        nonlocal links, roots
+        first = scratch.write(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        for part in (first, None):
+            if part is None:
+                part = scratch.write(_apart_pairs(pairs.join(first, ["a", "b"], "left_anti"), with_roots))
+                if part.isEmpty():
+                    break
+            sets = sets_of(part.select(F.col("a").alias("node")).union(part.select(F.col("b").alias("node"))).distinct())
+            found = scratch.write(_verified(part, sets, join))
+            scratch.drop(sets)
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
                 before, roots = roots, connected_components(links, scratch)
                 if before is not None:
                     scratch.drop(before)
-            if tested is pairs and failed.isEmpty():
-                break
-            # Only groups that hold a pair that failed may have links not found yet.
-            touched = groups.join(failed.select(F.col("a").alias("node"), "b"), "node").select("group", F.col("b").alias("node"))
-            touched = touched.join(groups.select("group", "node"), ["group", "node"]).select("group").distinct()
-            if tested is pairs:
-                all_groups, groups = groups, scratch.write(groups.join(touched, "group", "left_semi"))
-                scratch.drop(all_groups)
-        scratch.drop(groups)
 
     for level in range(join.levels + 1):
         all_groups = scratch.write(_groups_of(signed, join))
@@ -526,11 +547,19 @@ def _components(docs, nodes, join: JaccardJoin, scratch: Scratch, id_column: str
     return roots
 
 
+def _apart_pairs(pairs: DataFrame, with_roots) -> DataFrame:
+    """The pairs (a, b) whose nodes are not in one component."""
+    left = with_roots(pairs.withColumnRenamed("a", "node")).select(F.col("node").alias("a"), "b", F.col("root").alias("root_a"))
+    both = with_roots(left.withColumnRenamed("b", "node")).select("a", F.col("node").alias("b"), "root_a", "root")
+    return both.where("root_a <> root").select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
     """The pairs whose sets reach the threshold, counted exactly."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs"))
+    # Few nodes are the first of their pairs; only their sets are sent where their pairs are.
+    left = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("xs"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys"))
-    sized = pairs.join(left, "a").join(right, "b")
+    sized = pairs.join(right, "b").join(left, "a")
     sized = sized.select("a", "b", F.size("xs").alias("n"), F.size("ys").alias("m"), F.size(F.array_intersect("xs", "ys")).alias("both"))
     return sized.where(F.lit(100) * F.col("both") >= F.lit(join.percent) * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
