@@ -455,6 +455,80 @@ def test_learned_models_on_held_out_rows(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in rows) >= 0.95 * len(rows)
 
 
+def test_op1_statistics_and_compiled_rules_against_plain(spark):
+    texts = [*_hostile(), "One, two.\nOne, two.\n\n #3 | x! ABC (d)"]
+    docs = _docs(spark, texts).withColumn("_w", F.lit(1)).withColumn("_q_n_words", F.lit("clash"))
+
+    def plain(t):
+        t = t or ""
+        words, lines, n = _words(t), [x for x in t.split("\n") if x.strip(" ")], len(t)
+        count = lambda chars: sum(c in chars for c in t)
+        share = lambda a, b: a / max(b, 1)
+        return {
+            "n_words": len(words), "log_words": np.log1p(len(words)), "word_chars": share(n - count(" \t\n\r"), len(words)), "distinct_words": share(len(set(words)), len(words)), "n_lines": len(lines),
+            "line_words": share(len(words), len(lines)), "distinct_lines": share(len(set(lines)), len(lines)), "upper": share(sum("A" <= c <= "Z" for c in t), n), "lower": share(sum("a" <= c <= "z" for c in t), n),
+            "digits": share(count("0123456789"), n), "symbols": share(count("#*$%&|<>"), n), "bars": share(count("|"), n), "shouts": share(count("!?"), n), "stops": share(count("."), n),
+            "commas": share(count(",;:"), n), "brackets": share(count("()[]{}=_/\\"), n), "spaces": share(count(" "), n),
+        }
+
+    rows, names, mark = op1.with_statistics(docs)
+    got = {r.doc_id: r for r in rows.select("doc_id", *(f"{mark}_{n}" for n in names)).collect()}
+    for i, t in enumerate(texts):
+        want = plain(t)
+        assert set(names) == set(want) and all(abs(got[i][f"{mark}_{k}"] - v) < 1e-9 for k, v in want.items()), i
+    x = np.array([[plain(t)[k] for k in names] for t in texts])
+    rules = [((0, True, 5.0), (11, False, 0.2)), ((5, False, 30.0),), ((3, True, 0.5), (16, True, 0.1), (0, False, 1000.0))]
+    model = op1.RuleEnsemble(names, rules, [1.5, -0.7, 0.4], -0.3)
+    z = [-0.3 + sum(w for r, w in zip(rules, model.weights) if all(row[k] > v if above else row[k] <= v for k, above, v in r)) for row in x]
+    want = 1 / (1 + np.exp(-np.array(z)))
+    assert np.allclose(model.predict(x), want)
+    scored = {r.doc_id: r.score for r in op1.score_quality(docs, model).collect()}
+    assert np.allclose([scored[i] for i in range(len(texts))], want)
+    kept = op1.keep_good(docs, model)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, p in enumerate(want) if p >= 0.3]
+    assert op1.keep_good(docs.limit(0), model).count() == op1.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_op1_filter_stays_above_the_statistics(spark):
+    model = op1.RuleEnsemble(["n_words", "log_words"], [((0, True, 5.0),), ((1, True, 2.0),)], [1.0, 1.0], 0.0)
+    plan = op1.keep_good(_docs(spark, ["a"]), model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan[plan.index("Filter") : plan.index("\n", plan.index("Filter"))]
+
+
+def test_op6_against_naive_convolution(spark):
+    rng = np.random.default_rng(3)
+    config = op6.CnnConfig(buckets=64, dims=3, filters=2, widths=(1, 3))
+    model = op6.TextCnn(config)
+    model.embedding = rng.normal(size=(64, 3)).astype(np.float32)
+    model.embedding[0] = 0
+    model.freeze()
+    texts = [*_hostile(), "word " * 40_000]
+    want = []
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        ids, _ = op6.word_buckets(data, np.array([0, len(data)]), config)
+        x = model.embedding[ids].astype(np.float64).sum(1)
+        pooled = []
+        for kernel, bias in zip(model.kernels, model.bias):
+            padded = np.concatenate([x, np.zeros((len(kernel), 3))])
+            sums = [[sum(padded[i + j] @ kernel[j, :, f] for j in range(len(kernel))) + bias[f] for f in range(2)] for i in range(min(len(x), 500))]
+            pooled += np.maximum(np.max(sums, 0), 0).tolist()
+        want.append(1 / (1 + np.exp(-(np.array(pooled) @ model.top + model.base[0]))))
+    docs = _docs(spark, texts).withColumn("_lang", F.lit("clash"))
+    got = {r.doc_id: r.score for r in op6.score_toxicity(docs, model).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-4)
+    assert op6.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_op6_learns_the_same_model_again(spark):
+    rows = [(f"id{i}", ("vile rotten " if i % 3 == 0 else "kind gentle ") * (1 + i % 4) + f"w{i % 7}", "en", int(i % 3 == 0)) for i in range(90)] + [(None, "x", None, 1), ("long", "y " * 30_000, "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, toxic int")
+    a, b = (op6.learn_toxicity(docs.repartition(k), docs.select("doc_id", "toxic")) for k in (2, 3))
+    assert np.array_equal(a.embedding, b.embedding) and np.array_equal(a.shift, b.shift)
+    got = op6.score_toxicity(docs, a).join(docs, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.9 * len(got)
+
+
 def test_models_without_labels_and_odd_texts(spark):
     docs = _docs(spark, _hostile())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
