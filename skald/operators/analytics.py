@@ -121,19 +121,28 @@ def name_pairs(names: DataFrame, name: str) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def clusters(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, root) of the nodes of a link table: the least node reachable.  Lineage is cut by checkpoints."""
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
-    for _ in range(max_rounds):
-        label = label.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else label.persist()
-        heard = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        new = label.join(heard, "node").select("node", F.least("root", "heard").alias("root"), F.col("root").alias("_old"))
-        new = new.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        if new.where("root <> _old").isEmpty():
-            return label
-        label = new.drop("_old")
-    raise RuntimeError("clusters did not settle")
+def clusters(pairs: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of a link table: the least node reachable.
+
+    Each round a node takes the least label of its neighbours and then that
+    label's own label, so chains of any length shorten by halves.  With a
+    checkpoint folder each round's labels are cut off from their lineage there;
+    without one (a single machine) they are cached.
+    """
+    cut = (lambda df: df.checkpoint()) if pairs.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.cache())
+    both = cut(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    held = label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
+    while True:
+        heard = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
+        best = label.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
+        upper = label.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+        moved = cut(best.join(upper, "root", "left").select("node", "old", F.least("root", F.coalesce("upper", "root")).alias("root")))
+        settled = moved.where("root <> old").isEmpty()
+        held.unpersist()
+        if settled:
+            both.unpersist()
+            return moved.select("node", "root")
+        held, label = moved, moved.select("node", "root")
 
 
 def ordered(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

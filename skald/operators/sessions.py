@@ -121,3 +121,17 @@ def merge_small_scenes(scenes: DataFrame, key: str, order: str, n: str, first_ts
 
     kind = dict(scenes.dtypes)
     return scenes.select(key, order, n, first_ts, last_ts).groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, {order} {kind[order]}, target {kind[order]}")
+
+
+def last_overlapping(rows: DataFrame, scene: str, item: str, k: int) -> DataFrame:
+    """(scene, before, back): the last ``k`` earlier scenes that share an item with each scene, latest first.
+
+    Of the scenes with one item only the last k can be among the last k of all,
+    so each row brings k candidates at most, however common its item is.
+    """
+    own = rows.select(F.col(scene), F.col(item).alias("_item")).distinct()
+    last = Window.partitionBy("_item").orderBy(scene)
+    near = own.select(scene, *(F.lag(scene, i).over(last).alias(f"_{i}") for i in range(1, k + 1)))
+    met = near.select(scene, F.explode(F.array(*(f"_{i}" for i in range(1, k + 1)))).alias("before")).where("before is not null").distinct()
+    back = F.row_number().over(Window.partitionBy(scene).orderBy(F.desc("before"))).cast("long")
+    return met.withColumn("back", back).where(F.col("back") <= k)

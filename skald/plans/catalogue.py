@@ -50,8 +50,9 @@ def gap_sessions_nullsafe(spark, sf):
     return sessions.gap_sessions(rows, ["user_id"], "ts", "event_id", 6 * 3600, 3)
 
 
-@query(r"""with c as (select doc_id, text as t, trim(regexp_replace(regexp_replace(regexp_replace(text, '<@[!&]?[0-9]+>', '', 'g'), '<a?:[A-Za-z0-9_]+:[0-9]+>', '', 'g'), 'https?://[^ \t\n\r]+', '', 'g'), E' \t\n\r') as k from documents)
-select doc_id, (trim(t, E' \t\n\r') = '' or regexp_matches(trim(t, E' \t\n\r'), '^[-_*=~]{2,}[ \t\n\r]*$') or regexp_matches(trim(t, E' \t\n\r'), '^(>|\[[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\]|\[[0-9]{1,2}:[0-9]{2}\])') or not regexp_matches(k, '[a-zA-ZÀ-ÿ0-9]{2,}')) as dropped from c""")
+@query(r"""with c as (select doc_id, trim(text, E' \t\n\r') as t, trim(regexp_replace(regexp_replace(regexp_replace(text, '<@!?[0-9]+>', '', 'g'), '<:[\p{L}\p{N}_]+:[0-9]+>', '', 'g'), 'https?://[^ \t\n\r]+', '', 'g'), E' \t\n\r') as k from documents)
+select doc_id, (t = '' or regexp_matches(t, '^[-_*=~]{2,}[ \t\n\r]*$') or regexp_matches(t, '^>[ \t\n\r]+') or regexp_matches(t, '^\[[^\n]{0,60}?[0-9]{4}[^\n]{0,30}?\]') or regexp_matches(t, '^\[[^\n]{0,30}?[0-9]{1,2}[/.][0-9]{1,2}[/.]')
+  or regexp_matches(t, '^\[[^\n]{0,30}?[0-9]{1,2}:[0-9]{2}') or not regexp_matches(k, '[a-zA-ZÀ-ÿ0-9]{2,}')) as dropped from c""")
 def drop_rules(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.drop_message(F.col("text")).alias("dropped"))
 
@@ -118,9 +119,7 @@ def prev_group_lookup(spark, sf):
 @query("""with l as (select distinct l_orderkey as o, l_partkey as p from lineitem), j as (select distinct a.o, b.o as before from l a join l b on a.p = b.p and b.o < a.o),
 r as (select *, row_number() over (partition by o order by before desc) as back from j) select o, before, back from r where back <= 3""")
 def last_k_overlap(spark, sf):
-    own = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    met = own.join(own.select(F.col("o").alias("before"), "p"), "p").where("before < o").select("o", "before").distinct()
-    return met.withColumn("back", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("before"))).cast("long")).where("back <= 3")
+    return sessions.last_overlapping(_t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")), "o", "p", 3)
 
 
 @query("""with r as (select conv_id, role, turn, substr(text, 1, 70) as s, row_number() over (partition by conv_id, role order by turn) as n from conversations)
@@ -200,8 +199,9 @@ def social_degree(spark, sf):
 @query("""select c_custkey, count(distinct s_suppkey) as authors, case when count(distinct s_suppkey) >= 3 then 'NPC' when count(distinct s_suppkey) = 1 then 'PC (likely)' else 'PC/NPC (unclear)' end as role
 from customer join supplier on s_nationkey = c_nationkey group by 1""")
 def role_heuristic(spark, sf):
-    met = _t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k")).join(_t(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")), "k")
-    return A.roles(met, "c_custkey", "s_suppkey")
+    # Customers of a nation meet the same suppliers, so these are counted once for each nation.
+    counted = A.roles(_t(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey"), "c_nationkey", "s_suppkey")
+    return _t(spark, sf, "customer").select("c_custkey", "c_nationkey").join(counted, "c_nationkey").drop("c_nationkey")
 
 
 @query("""select l_suppkey, greatest(0, cast(sum(case l_returnflag when 'A' then 2 when 'N' then 1 else -1 end) as bigint)) as power from lineitem group by 1""")
@@ -282,7 +282,8 @@ def ordered_union(spark, sf):
     return out.select("conv_id", F.col("pos").cast("long").alias("pos"), "role")
 
 
-@query()
+@query("""with l as (select user_id, list(floor(value)::bigint % 5 - 2 order by event_id) as axes from events where value is not null group by 1)
+select user_id, cast(list_reduce(list_transform(axes, lambda x: x::double), lambda s, x: round_even((s + x) / 2, 0)) as bigint) as axis from l""")
 def axes_fold(spark, sf):
     rows = _t(spark, sf, "events").select("user_id", "event_id", (F.floor("value") % 5 - 2).alias("axis"))
     return A.ordered(rows, ["user_id"], ["event_id"], "axis").select("user_id", A.axis_fold(F.col("items")).alias("axis"))

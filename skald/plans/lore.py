@@ -71,7 +71,7 @@ def entity_merge(spark, sf):
     return M.merge_entities(c, ["conv_id"], "role", "turn", ["text"], ["state"], []).select("conv_id", "role", "text", "state")
 
 
-@query("select conv_id, string_agg(substr(text, 1, 20), ' ' order by turn) as narrative, count(*) as parts from conversations group by 1")
+@query("select conv_id, string_agg(text, ' ' order by turn) as narrative, count(*) as parts from conversations group by 1")
 def synthesis_merge(spark, sf):
     rows = _t(spark, sf, "conversations")
     return rows.groupBy("conv_id").agg(M.joined_text(F.col("text"), ["turn"]).alias("narrative"), F.count(F.lit(1)).alias("parts"))
@@ -97,9 +97,11 @@ def merge_short_scenes(spark, sf):
     return merged.groupBy("o_custkey", "merged").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("scenes"))
 
 
-@query("select o_custkey, o_orderkey, epoch_us(o_orderdate) - epoch_us(lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) + interval 1 hour) as gap_us from orders qualify gap_us is not null")
+@query("""with g as (select o_custkey, o_orderkey, epoch_us(o_orderdate) - epoch_us(lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) + interval 1 hour) as gap from orders)
+select o_custkey, o_orderkey, coalesce(gap, 0) as gap_us, gap is not null as has_gap from g""")
 def scene_gaps(spark, sf):
-    return M.scene_gaps(_scenes(spark, sf), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderdate", "ended").select("o_custkey", "o_orderkey", "gap_us")
+    gaps = M.scene_gaps(_scenes(spark, sf), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderdate", "ended")
+    return gaps.select("o_custkey", "o_orderkey", F.coalesce("gap_us", F.lit(0)).alias("gap_us"), F.col("gap_us").isNotNull().alias("has_gap"))
 
 
 @query("select s_nationkey, coalesce(max(try_cast(regexp_extract(s_name, '([0-9]+)$', 1) as bigint)), -1) + 1 as next_index from supplier group by 1")

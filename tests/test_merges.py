@@ -93,5 +93,6 @@ def test_scene_gaps_has_a_row_for_every_scene(spark):
         want[r.o_custkey, r.o_orderkey] = None if before is None else r.us - before - 3_600_000_000
         last[r.o_custkey] = r.us
     got = QUERIES["scene_gaps"](spark, SF).collect()
-    assert {(r.o_custkey, r.o_orderkey): r.gap_us for r in got} == want and len(got) == len(want)
-    assert sum(r.gap_us is None for r in got) == len(last)
+    assert {(r.o_custkey, r.o_orderkey): r.gap_us if r.has_gap else None for r in got} == want and len(got) == len(want)
+    assert all(r.gap_us == 0 for r in got if not r.has_gap)
+    assert sum(not r.has_gap for r in got) == len(last)

@@ -32,7 +32,8 @@ def test_missing_time_comes_first(spark):
 
 
 def test_drop_rules(spark):
-    cases = [("", True), ("---", True), ("> quote", True), ("[15/01/2024] x", True), ("[12:30] x", True), ("<:smile:123>", True), ("https://x.y", True), ("[Yaya entre]", False), (None, True)]
+    cases = [("", True), ("---", True), ("> quote", True), ("[15/01/2024] x", True), ("[12:30] x", True), ("<:smile:123>", True), ("https://x.y", True), ("[Yaya entre]", False), (None, True),
+             ("[Today at 20:30] hi there", True), ("[2024-01-15] he said", True), ("[Bob — 15/01/2024 20:30] he said", True), ("[15 jan. 2024 à 20:30] il dit", True), ("[lundi 15.01.] il dit", True), (">quote", False), ("<@&12> ab", False)]
     rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string")
     got = {r.i: r.d for r in rows.select("i", text.drop_message(F.col("c")).alias("d")).collect()}
     assert [got[i] for i in range(len(cases))] == [d for _, d in cases]
@@ -89,3 +90,30 @@ def test_stream_sessions(spark, tmp_path):
     q = stream_sessions(stream, ["k"], "ts", min_size=2).writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.n for r in spark.table("closed").collect()) in ([], [2, 3], [3])
+
+
+def test_roleplay_words(spark):
+    long = "x" * 80
+    cases = [("*tire son épée lentement*", True, False), (f"désolé demain connexion {long}", False, True), (f"pas là {long}", False, True), (f"lolita {long}", True, False), (f"Ok, {long}", True, False), (f"ok alors {long}", False, True), (long, True, False), ("x" * 79, False, False)]
+    rows = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(cases)], "i int, c string")
+    got = {r.i: (r.rp, r.ooc) for r in rows.select("i", text.is_roleplay(F.col("c")).alias("rp"), text.is_ooc(F.col("c")).alias("ooc")).collect()}
+    assert [got[i] for i in range(len(cases))] == [(a, b) for _, a, b in cases]
+    first = rows.select(text.preferred(F.lit(""), F.lit(" a ")).alias("a"), text.preferred(F.lit("b"), F.lit("a")).alias("b"), text.is_meta(F.lit("C'était génial, cette session")).alias("m"), text.is_ooc(F.lit("^^"), smileys=True).alias("s")).first()
+    assert (first.a, first.b, first.m, first.s) == ("a", "b", True, True)
+
+
+def test_scene_check_and_prefix(spark):
+    act = "*il avance vers la grande porte noire*"
+    rows = [(1, 0, "")] + [(2, i, act + " " + "y" * 90) for i in range(4)] + [(3, i, "lol ok") for i in range(3)] + [(4, i, "salut toi") for i in range(3)] + [(5, 0, "«dit il"), (5, 1, "encore»"), (6, 0, "a" * 50), (7, 0, "a" * 30), (8, 0, "a" * 30), (8, 1, "b" * 30)]
+    scenes = spark.createDataFrame(rows, "k int, pos int, t string")
+    got = {r.k: (r.is_rp, r.score, r.flags) for r in text.scene_check(scenes, ["k"], ["pos"], "t").collect()}
+    assert got[1] == (False, 0.0, ["no_narrative"]) and got[2] == (True, 0.8, []) and got[3] == (False, 0.0, ["ooc", "no_narrative"])
+    assert got[4] == (False, 0.0, ["no_narrative"]) and got[5][1] == 0.1
+    verdicts = {r.k: r.verdict for r in text.prefix_verdict(scenes, ["k"], "t").collect()}
+    assert verdicts == {1: "trim", 2: "keep", 3: "trim", 4: "trim", 5: "trim", 6: "keep", 7: "trim", 8: "ask"}
+
+
+def test_clusters_of_a_long_chain(spark):
+    chain = spark.range(199).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(500, 501)], "a long, b long"))
+    got = {r.node: r.root for r in A.clusters(chain).collect()}
+    assert got == {**dict.fromkeys(range(200), 0), 500: 500, 501: 500}
