@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 
+#: Small rows (a few numbers) that one task writes.
+ROWS_IN_PART = 250_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a machine's own folder never takes its place."""
@@ -37,6 +40,10 @@ class Scratch:
         self._tables[id(back)] = back, to
         return back
 
+    def write_rows(self, df: DataFrame, rows: int) -> DataFrame:
+        """The same for at most so many small rows: in one part for each ``ROWS_IN_PART`` of them, not one for each task."""
+        return self.write(df.coalesce(-(-max(rows, 1) // ROWS_IN_PART)))
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing will read again; what is no table of this job stays."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()

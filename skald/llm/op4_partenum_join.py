@@ -490,7 +490,7 @@ def _components(docs, nodes, join: JaccardJoin, scratch: Scratch, id_column: str
                 continue
             verify(pairs)
             # Of a pair that failed the nodes may still be linked by others; only where they are not, links may be missing.
-            apart = scratch.write(_apart_pairs(pairs, with_roots))
+            apart = scratch.write_rows(_apart_pairs(pairs, with_roots), pairs.count())
             if tested is None and apart.isEmpty():
                 break
             # Only groups that hold such a pair may have links not found yet.
@@ -505,10 +505,11 @@ def _components(docs, nodes, join: JaccardJoin, scratch: Scratch, id_column: str
     def verify(pairs: DataFrame) -> None:
         """Add the links among the pairs: first one pair for each node, then those whose nodes are not linked by then."""
         nonlocal links, roots
-        first = scratch.write(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        size = pairs.count()
+        first = scratch.write_rows(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), size)
         for part in (first, None):
             if part is None:
-                part = scratch.write(_apart_pairs(pairs.join(first, ["a", "b"], "left_anti"), with_roots))
+                part = scratch.write_rows(_apart_pairs(pairs.join(first, ["a", "b"], "left_anti"), with_roots), size)
                 if part.isEmpty():
                     break
             sets = sets_of(part.select(F.col("a").alias("node")).union(part.select(F.col("b").alias("node"))).distinct())
