@@ -16,6 +16,7 @@ from . import (
     op8_cross_entropy,
     op9_spaced_seeds,
     op10_cross_parsing,
+    oracles,
 )
 
 
@@ -70,7 +71,8 @@ def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_spaced_seeds.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = op9_spaced_seeds.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("n_agree", "n_window")})
 
 
 def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +93,4 @@ QUERIES = {
     "op10_cross_parsing_language": op10_cross_parsing_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_partenum_jaccard": oracles.OP4, "op9_spaced_seed_leaks": oracles.OP9}

@@ -44,6 +44,24 @@ def _hostile():
     return [None, "", " \n", "one", "A b", "a B", "x " * 3000, "lang\nlang\nlang", *base, *near]
 
 
+def _repeats(words, least):
+    """Words inside a repeat of at least so many words, and the longest repeat, by comparing all pairs of places."""
+    n, inside, longest = len(words), set(), 0
+    for i in range(n):
+        for j in range(i):
+            k = 0
+            while i + k < n and words[i + k] == words[j + k]:
+                k += 1
+            longest = max(longest, k)
+            if k >= least:
+                inside |= {*range(i, i + k), *range(j, j + k)}
+    return len(inside), longest
+
+
+def _verdict(n, covered, longest):
+    return covered <= 0.35 * n and (longest <= 100 or longest <= 0.25 * n)
+
+
 def test_op5_against_brute_force(spark):
     def brute(text):
         w = _words(text)
@@ -62,6 +80,9 @@ def test_op5_against_brute_force(spark):
     for i, t in enumerate(texts):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(t)
+        if len(_words(t)) < 500:
+            covered, longest = _repeats(_words(t), 5)
+            assert (r.n_covered_words, r.longest_repeat, r.kept) == (covered, longest, not r.base_failed and _verdict(r.n_words, covered, longest))
     kept = {r.doc_id for r in op5.keep_unrepetitive(_docs(spark, texts)).collect()}
     assert kept == {i for i in got if got[i].kept}
     assert op5.quality_statistics(_docs(spark, texts).limit(0)).count() == 0
@@ -322,6 +343,20 @@ def test_op9_masks_hit_every_window_that_counts():
         assert hits, gone
 
 
+def _leaks(texts, items):
+    """{(text, item): (words that agree in the best window, its length)}, by all windows."""
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            x, y = tokens(t), tokens(item)
+            n = min(13, len(y))
+            best = max((sum(a == b for a, b in zip(x[p : p + n], y[q : q + n])) for p in range(len(x) - n + 1) for q in range(len(y) - n + 1)), default=0) if n else 0
+            if n and 100 * best >= 80 * n:
+                out[i, k] = best, n
+    return out
+
+
 def test_op9_against_all_windows(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcd", k=2))
@@ -336,15 +371,7 @@ def test_op9_against_all_windows(spark):
         return " ".join([word() for _ in range(rng.randint(0, 9))] + w[cut:] + [word() for _ in range(rng.randint(0, 9))])
 
     texts = [noisy(rng.choice(items)).upper() for _ in range(150)] + [None, "", items[14]]
-    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    want = {}
-    for i, t in enumerate(texts):
-        for k, item in enumerate(items):
-            x, y = tokens(t), tokens(item)
-            n = min(13, len(y))
-            best = max((sum(a == b for a, b in zip(x[p : p + n], y[q : q + n])) for p in range(len(x) - n + 1) for q in range(len(y) - n + 1)), default=0) if n else 0
-            if n and 100 * best >= 80 * n:
-                want[i, k] = best, n
+    want = _leaks(texts, items)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = _docs(spark, texts).withColumn("_gone", F.lit(1)).withColumn("h", F.lit(2)).withColumn("doc", F.lit(3))
     got = {(r.doc_id, r.item_id): (r.n_agree, r.n_window) for r in op9.contaminated_pairs(docs, bench).collect()}
@@ -455,28 +482,29 @@ def test_learned_models_on_held_out_rows(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in rows) >= 0.95 * len(rows)
 
 
+def _plain_statistics(t):
+    t = t or ""
+    words, lines, n = _words(t), [x for x in t.split("\n") if x.strip(" ")], len(t)
+    count = lambda chars: sum(c in chars for c in t)
+    share = lambda a, b: a / max(b, 1)
+    return {
+        "n_words": len(words), "log_words": np.log1p(len(words)), "word_chars": share(n - count(" \t\n\r"), len(words)), "distinct_words": share(len(set(words)), len(words)), "n_lines": len(lines),
+        "line_words": share(len(words), len(lines)), "distinct_lines": share(len(set(lines)), len(lines)), "upper": share(sum("A" <= c <= "Z" for c in t), n), "lower": share(sum("a" <= c <= "z" for c in t), n),
+        "digits": share(count("0123456789"), n), "symbols": share(count("#*$%&|<>"), n), "bars": share(count("|"), n), "shouts": share(count("!?"), n), "stops": share(count("."), n),
+        "commas": share(count(",;:"), n), "brackets": share(count("()[]{}=_/\\"), n), "spaces": share(count(" "), n),
+    }
+
+
 def test_op1_statistics_and_compiled_rules_against_plain(spark):
     texts = [*_hostile(), "One, two.\nOne, two.\n\n #3 | x! ABC (d)"]
     docs = _docs(spark, texts).withColumn("_w", F.lit(1)).withColumn("_q_n_words", F.lit("clash"))
 
-    def plain(t):
-        t = t or ""
-        words, lines, n = _words(t), [x for x in t.split("\n") if x.strip(" ")], len(t)
-        count = lambda chars: sum(c in chars for c in t)
-        share = lambda a, b: a / max(b, 1)
-        return {
-            "n_words": len(words), "log_words": np.log1p(len(words)), "word_chars": share(n - count(" \t\n\r"), len(words)), "distinct_words": share(len(set(words)), len(words)), "n_lines": len(lines),
-            "line_words": share(len(words), len(lines)), "distinct_lines": share(len(set(lines)), len(lines)), "upper": share(sum("A" <= c <= "Z" for c in t), n), "lower": share(sum("a" <= c <= "z" for c in t), n),
-            "digits": share(count("0123456789"), n), "symbols": share(count("#*$%&|<>"), n), "bars": share(count("|"), n), "shouts": share(count("!?"), n), "stops": share(count("."), n),
-            "commas": share(count(",;:"), n), "brackets": share(count("()[]{}=_/\\"), n), "spaces": share(count(" "), n),
-        }
-
     rows, names, mark = op1.with_statistics(docs)
     got = {r.doc_id: r for r in rows.select("doc_id", *(f"{mark}_{n}" for n in names)).collect()}
     for i, t in enumerate(texts):
-        want = plain(t)
+        want = _plain_statistics(t)
         assert set(names) == set(want) and all(abs(got[i][f"{mark}_{k}"] - v) < 1e-9 for k, v in want.items()), i
-    x = np.array([[plain(t)[k] for k in names] for t in texts])
+    x = np.array([[_plain_statistics(t)[k] for k in names] for t in texts])
     rules = [((0, True, 5.0), (11, False, 0.2)), ((5, False, 30.0),), ((3, True, 0.5), (16, True, 0.1), (0, False, 1000.0))]
     model = op1.RuleEnsemble(names, rules, [1.5, -0.7, 0.4], -0.3)
     z = [-0.3 + sum(w for r, w in zip(rules, model.weights) if all(row[k] > v if above else row[k] <= v for k, above, v in r)) for row in x]
@@ -548,3 +576,60 @@ def test_pipeline_stages_take_effect(spark):
     quality = {r.doc_id for r in op5.quality_statistics(docs).where("kept").collect()}
     leaks = {r.doc_id for r in op9.contaminated_pairs(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert kept and kept <= quality and not kept & leaks and out.where("not decodes").isEmpty()
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 7)))
+    item = " ".join(word() for _ in range(25))
+    texts = [None, "", "too short", "again " * 60]
+    for _ in range(60):
+        own = [word() for _ in range(rng.randint(25, 90))]
+        texts.append(" ".join(own) + ".")
+        if rng.random() < 0.4:
+            own[rng.randrange(len(own))] = word()
+            texts += [" ".join(own) + "."] * rng.randint(1, 2)
+        if rng.random() < 0.2:
+            texts.append(" ".join(own[:12]) + " " + item + " " + " ".join(word() for _ in range(12)))
+        if rng.random() < 0.5:
+            texts.append(" ".join(w.upper() + "!!!" for w in own))
+    rng.shuffle(texts)
+    rows = [(i, t, "en", f"s{i % 3}", len(t or ""), i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _q_score long")
+    labels = spark.createDataFrame([(i, int("!!!" not in (t or "")), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    folder = f"file://{tmp_path}"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    def unrepetitive(t):
+        w = _words(t)
+        counted = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = {j for i in range(len(w) - 7) if counted[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        return len(w) >= 20 and 100 * len(hit) <= 30 * len(w) and _verdict(len(w), *_repeats(w, 5))
+
+    kept = [i for i, t in enumerate(texts) if unrepetitive(t)]
+    model = op1.learn_quality(docs.where(F.col("doc_id").isin(kept)), labels)
+    assert model.rules
+    kept = [i for i in kept if model.predict(np.array([[_plain_statistics(texts[i])[k] for k in model.names]]))[0] >= 0.3]
+    groups = _components([texts[i] for i in kept], 5, 80)
+    kept = [i for k, i in enumerate(kept) if groups[k][1] == k]
+    leaks = {k for k, _ in _leaks([texts[i] for i in kept], [item])}
+    kept = [i for k, i in enumerate(kept) if k not in leaks]
+    library = Tokenizer.from_file(tokenizer_path())
+    want = {i: library.encode(texts[i], add_special_tokens=False).ids for i in kept}
+    out = corpus_pipeline.run(spark, folder)
+    got = {r.doc_id: (list(r.token_ids), r.text, r._q_score) for r in out.collect()}
+    assert got == {i: (ids, texts[i], i) for i, ids in want.items()} and 0 < len(got) < len(texts) - 20 and leaks
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
