@@ -1,3 +1,3 @@
-"""The query catalogue; ``lore`` and ``messages`` add to the tables that ``catalogue`` starts."""
+"""The query catalogue; ``lore``, ``messages`` and ``records`` add to the tables that ``catalogue`` starts."""
 
-from . import catalogue, lore, messages  # noqa: F401
+from . import catalogue, lore, messages, records  # noqa: F401
