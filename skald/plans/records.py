@@ -41,7 +41,7 @@ def present_relations(spark, sf):
     return _t(spark, sf, "lineitem").where(R.both_present(end("l_suppkey"), end("l_partkey"), present)).select("l_orderkey", "l_linenumber")
 
 
-@query("""select d.doc_id, case when d.doc_id % 3 = 0 then coalesce(case when l.quality = 1 then 'good' else 'poor' end, '') else d.lang end as lang, case when l.doc_id is not null and d.source <> 'lore' then d.source || ',lore' else d.source end as tags
+@query("""select d.doc_id, case when d.doc_id % 3 = 0 then case when l.doc_id is null then '' when l.quality = 1 then 'good' else 'poor' end else d.lang end as lang, case when l.doc_id is not null and d.source <> 'lore' then d.source || ',lore' else d.source end as tags
 from documents d left join labels l using (doc_id)""")
 def lore_gap_fill(spark, sf):
     lang = F.when(F.col("doc_id") % 3 != 0, F.col("lang"))
