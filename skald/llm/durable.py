@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,13 +17,20 @@ _KEY = "spark.checkpoint.dir"
 ROWS_IN_PART = 250_000
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="skald-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a machine's own folder never takes its place."""
+    """The folder named in ``spark.checkpoint.dir``; on a cluster a machine's own folder never takes its place."""
     folder = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"  # one machine: driver and executors are one process
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # no cluster: driver and executors are one process
+        return _own_folder()
     raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
 
 
