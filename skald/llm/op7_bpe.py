@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import batches as B
 
 #: Text handled at once; more than elsewhere, as more equal pieces meet.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 # Fixed values of the byte-level format: white space as the tokenizer's regex
 # engine has it, and the pattern of pre-tokens.
