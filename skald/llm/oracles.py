@@ -24,3 +24,32 @@ m as (select doc_id, item_id, p - q as shift, q, least(13, ny) as n, greatest(0,
 t as (select *, count(*) over (partition by doc_id, item_id, shift order by q range between current row and 12 following) as ahead, count(*) over (partition by doc_id, item_id, shift) as every_ from m where high - low >= n),
 b as (select doc_id, item_id, shift, n, max(case when n = ny_all then every_ when q + n <= high then ahead end) as inner_, count(*) filter (where q >= high - n) as last_ from (select *, case when n < 13 then n else -1 end as ny_all from t) group by 1, 2, 3, 4)
 select doc_id, item_id, max(greatest(coalesce(inner_, 0), last_)) as n_agree, max(n) as n_window from b group by 1, 2 having 100 * max(greatest(coalesce(inner_, 0), last_)) >= 80 * max(n)"""
+
+
+#: The checksum byte by byte over a table; near words by patterns with one place left open or out; roots by recursion.
+OP11 = r"""
+with recursive bits(i, k, c) as (select i, 0, i from range(256) t(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+tab as (select list(c order by i) as t from bits where k = 8),
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as w from documents),
+each as (select doc_id, w, count(*) as n, hex(encode(doc_id || ':' || w)) as x from runs where length(w) >= 6 group by doc_id, w),
+crc as (select w, n, xor(list_reduce(list_prepend(4294967295::bigint, [('0x' || x[2 * k + 1:2 * k + 2])::bigint for k in range(length(x) // 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h from each, tab),
+words as (select case when h % 199 = 0 then left(w, h % length(w)) || substring(w, h % length(w) + 2) else w end as word, sum(n)::bigint as n from crc group by 1 having length(word) >= 6 and sum(n) >= 5),
+places as (select word, n, unnest(range(length(word))) as p from words),
+gone as (select word, n, left(word, p) as a, substring(word, p + 2) as b from places),
+pairs as (select x.word, y.word as near, y.n as m from gone x join gone y on x.a = y.a and x.b = y.b and x.word <> y.word
+  union select x.word, y.word, y.n from gone x join words y on x.a || x.b = y.word union select y.word, x.word, x.n from gone x join words y on x.a || x.b = y.word),
+best as (select word, count(*) as n_near, max(m) as m, min(near order by near) filter (where m = top) as near from (select *, max(m) over (partition by word) as top from pairs) group by word),
+told as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 5 * n then near end as form, case when m >= 5 * n then m end as form_n from words w left join best using (word)),
+path(word, at_, depth) as (select word, word, 0 from told union all select path.word, told.form, depth + 1 from path join told on told.word = at_ where told.form is not null),
+roots as (select word, arg_max(at_, depth) as root from path group by word)
+select word, form, root, n, n_near, form_n from told join roots using (word)"""
+
+#: Draws from the id's checksum, cuts by code points, and the text put together again from prefix, middle and suffix.
+OP12 = r"""
+with t as (select doc_id, coalesce(text, '') as x, length(coalesce(text, ''))::bigint as n, sha256('1:' || doc_id) as s from documents),
+h as (select *, ('0x' || s[1:8])::bigint % (n + 1) as a, ('0x' || s[9:16])::bigint % (n + 1) as b, ('0x' || s[17:24])::bigint % 100 as c, ('0x' || s[25:32])::bigint % 100 as d from t),
+f as (select *, least(a, b) as k, greatest(a, b) as m, case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or c >= 90 then 'plain' when d < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substring(x, 1, k) as pre, substring(x, k + 1, m - k) as mid, substring(x, m + 1) as suf from f)
+select doc_id, n, form, case when form <> 'plain' then k end as prefix_chars, case when form <> 'plain' then m - k end as middle_chars,
+sha256(case form when 'plain' then x when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+sha256(case form when 'plain' then x else pre || mid || suf end) as restored_sha256 from p"""

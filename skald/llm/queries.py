@@ -16,6 +16,8 @@ from . import (
     op8_cross_entropy,
     op9_spaced_seeds,
     op10_cross_parsing,
+    op11_spelling_variants,
+    op12_fill_middle,
     oracles,
 )
 
@@ -80,6 +82,15 @@ def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_cross_parsing.predict_language(docs, op10_cross_parsing.learn_languages(docs))
 
 
+def op11_even_partition_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = op12_fill_middle.transform_and_check(_table(spark, sf_dir, "documents"))
+    return made.withColumnsRenamed({"prefix_units": "prefix_chars", "middle_units": "middle_chars"})
+
+
 QUERIES = {
     "op1_rule_ensemble_quality": op1_rule_ensemble_quality,
     "op2_hash_tree_shards": op2_hash_tree_shards,
@@ -91,6 +102,8 @@ QUERIES = {
     "op8_cross_entropy_difference": op8_cross_entropy_difference,
     "op9_spaced_seed_leaks": op9_spaced_seed_leaks,
     "op10_cross_parsing_language": op10_cross_parsing_language,
+    "op11_even_partition_spelling": op11_even_partition_spelling,
+    "op12_fill_middle_batches": op12_fill_middle_batches,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_partenum_jaccard": oracles.OP4, "op9_spaced_seed_leaks": oracles.OP9}
+ORACLE_SQL: dict[str, str] = {"op4_partenum_jaccard": oracles.OP4, "op9_spaced_seed_leaks": oracles.OP9, "op11_even_partition_spelling": oracles.OP11, "op12_fill_middle_batches": oracles.OP12}
