@@ -7,15 +7,20 @@ chunk at once instead of looping over words in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once, so that the arrays made of them stay in a core's cache.
 #: A single longer document is its own chunk.
 CHUNK_BYTES = 1 << 18
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _MASK = (1 << 64) - 1
@@ -89,6 +94,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def map_batches(rows: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_BYTES``, or one row: 10,000 whole texts at once would be held twice, by the JVM and by Python.
+
+    The session's bound is lowered where it is larger, and stays lowered.
+    """
+    spark = rows.sparkSession
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_KEY))
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) with at most ``limit`` bytes of text, or one document."""
     for batch in batches:

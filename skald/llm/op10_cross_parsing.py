@@ -293,5 +293,5 @@ def predict_language(docs: DataFrame, languages: Languages, id_column: str = "do
             yield pa.RecordBatch.from_arrays([B.column_of(rows, id_column), pa.array(names, pa.string()), pa.array(scores)], names=[id_column, "lang_pred", "score"])
 
     out = T.StructType([docs.schema[id_column], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    made = docs.select(id_column, text_column).mapInArrow(run, out)
+    made = B.map_batches(docs.select(id_column, text_column), run, out)
     return made.select(id_column, held_out(id_column, 5, 0).alias("held_out"), "lang_pred", "score")

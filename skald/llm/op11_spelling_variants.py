@@ -152,7 +152,7 @@ def corpus_words(docs: DataFrame, config: Spelling = Spelling(), id_column: str
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
     source = docs.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), F.col(text_column))
-    total = source.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = B.map_batches(source, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return total.where(F.col("n") >= config.occurrences)
 
 

@@ -214,7 +214,7 @@ def transform(docs: DataFrame, config: FillMiddle = FillMiddle(), id_column: str
             yield pa.RecordBatch.from_arrays([*(B.column_of(rows, c) for c in kept), *own.values()], names=[*kept, *own])
 
     source = docs.select(*dict.fromkeys([*kept, text_column]), _draws(id_column, config.seed).alias(draws))
-    return source.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *_OWN.fields]))
+    return B.map_batches(source, run, T.StructType([*(docs.schema[c] for c in kept), *_OWN.fields]))
 
 
 def restore(made: DataFrame, output_column: str = "output", form_column: str = "form", text_column: str = "restored") -> DataFrame:
@@ -229,7 +229,7 @@ def restore(made: DataFrame, output_column: str = "output", form_column: str = "
             yield pa.RecordBatch.from_arrays([*(B.column_of(rows, c) for c in kept), _strings(text, edge, good & known)], names=[*kept, text_column])
 
     source = made.select(*dict.fromkeys([*kept, output_column]))
-    return source.mapInArrow(run, T.StructType([*(made.schema[c] for c in kept), T.StructField(text_column, T.StringType())]))
+    return B.map_batches(source, run, T.StructType([*(made.schema[c] for c in kept), T.StructField(text_column, T.StringType())]))
 
 
 def transform_and_check(docs: DataFrame, config: FillMiddle = FillMiddle(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -246,4 +246,4 @@ def transform_and_check(docs: DataFrame, config: FillMiddle = FillMiddle(), id_c
 
     source = docs.select(id_column, text_column, _draws(id_column, config.seed).alias("draws"))
     own = [*_COUNTS, T.StructField("output_sha256", T.StringType()), T.StructField("restored_sha256", T.StringType())]
-    return source.mapInArrow(run, T.StructType([docs.schema[id_column], *own]))
+    return B.map_batches(source, run, T.StructType([docs.schema[id_column], *own]))

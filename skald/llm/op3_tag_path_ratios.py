@@ -354,4 +354,4 @@ def extract_text(pages: DataFrame, config: TagPathConfig = TagPathConfig(), id_c
             )
 
     out = T.StructType([pages.schema[id_column], pages.schema[url_column], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(id_column, url_column, html_column).mapInArrow(run, out)
+    return B.map_batches(pages.select(id_column, url_column, html_column), run, out)

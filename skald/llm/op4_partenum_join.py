@@ -225,7 +225,7 @@ def _rows(docs: DataFrame, join: JaccardJoin, id_column: str, text_column: str)
             yield pa.RecordBatch.from_arrays([B.column_of(rows, id_column), *made], names=[id_column, "n_shingles", "node", "sketch"])
 
     out = T.StructType([docs.schema[id_column], *T._parse_datatype_string("n_shingles long, node long, sketch binary").fields])
-    return docs.select(id_column, text_column).mapInArrow(run, out)
+    return B.map_batches(docs.select(id_column, text_column), run, out)
 
 
 def _signatures_of(docs: DataFrame, join: JaccardJoin, text_column: str) -> DataFrame:
@@ -248,7 +248,7 @@ def _signatures_of(docs: DataFrame, join: JaccardJoin, text_column: str) -> Data
             sigs, ends = signatures(x[np.repeat(new, size)], B.running(size * new), join)
             yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.repeat(nodes, np.diff(ends)))], names=["sig", "node"])
 
-    return docs.select(text_column).mapInArrow(run, "sig long, node long")
+    return B.map_batches(docs.select(text_column), run, "sig long, node long")
 
 
 def _signed_again(sets: DataFrame, crowded: DataFrame, level: int, join: JaccardJoin) -> DataFrame:

@@ -187,7 +187,7 @@ def quality_statistics(docs: DataFrame, limits: RepetitionLimits = RepetitionLim
             yield pa.RecordBatch.from_arrays([B.column_of(rows, id_column), *(pa.array(s[x]) for x in _STATS.names)], names=[id_column, *_STATS.names])
 
     out = T.StructType([docs.schema[id_column], *(T.StructField(x, T.LongType()) for x in _STATS.names)])
-    stats = docs.select(id_column, text_column).mapInArrow(run, out)
+    stats = B.map_batches(docs.select(id_column, text_column), run, out)
     return stats.withColumn("base_failed", _base_failed(limits)).withColumn("kept", ~F.col("base_failed") & _verdict(limits))
 
 
@@ -213,4 +213,4 @@ def keep_unrepetitive(docs: DataFrame, limits: RepetitionLimits = RepetitionLimi
             good &= (s["longest_repeat"] <= limits.max_repeat_words) | (s["longest_repeat"] <= limits.max_repeat_share * n)
             yield rows.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return B.map_batches(docs, run, docs.schema)

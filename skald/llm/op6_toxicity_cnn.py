@@ -296,5 +296,5 @@ def score_toxicity(docs: DataFrame, model: TextCnn, id_column: str = "doc_id", t
         for rows, data, off in B.chunks(it, text_column):
             yield pa.RecordBatch.from_arrays([B.column_of(rows, id_column), pa.array(cnn.scores(*word_buckets(data, off, config)))], names=[id_column, "score"])
 
-    made = docs.select(id_column, text_column).mapInArrow(run, T.StructType([docs.schema[id_column], T.StructField("score", T.DoubleType())]))
+    made = B.map_batches(docs.select(id_column, text_column), run, T.StructType([docs.schema[id_column], T.StructField("score", T.DoubleType())]))
     return made.select(id_column, held_out(id_column, 4, 2).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))

@@ -308,7 +308,7 @@ def encode_and_check(docs: DataFrame, bpe: ByteBpe, id_column: str = "doc_id", t
             )
 
     fields = T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string").fields
-    return docs.select(id_column, text_column).mapInArrow(run, T.StructType([docs.schema[id_column], *fields]))
+    return B.map_batches(docs.select(id_column, text_column), run, T.StructType([docs.schema[id_column], *fields]))
 
 
 def encode(docs: DataFrame, bpe: ByteBpe, text_column: str = "text", ids_column: str = "token_ids", check_column: str = "decodes") -> DataFrame:
@@ -328,7 +328,7 @@ def encode(docs: DataFrame, bpe: ByteBpe, text_column: str = "text", ids_column:
             yield pa.RecordBatch.from_arrays([*(B.column_of(rows, c) for c in kept), e.id_lists(), pa.array(same, pa.bool_())], names=[*kept, ids_column, check_column])
 
     out = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids_column, T.ArrayType(T.IntegerType())), T.StructField(check_column, T.BooleanType())])
-    return docs.select(kept).mapInArrow(run, out)
+    return B.map_batches(docs.select(kept), run, out)
 
 
 def decode(docs: DataFrame, bpe: ByteBpe, ids_column: str = "token_ids", text_column: str = "text") -> DataFrame:
@@ -344,4 +344,4 @@ def decode(docs: DataFrame, bpe: ByteBpe, ids_column: str = "token_ids", text_co
             yield pa.RecordBatch.from_arrays([*(B.column_of(rows, c) for c in kept), pa.array(texts, pa.string())], names=[*kept, text_column])
 
     out = T.StructType([*(docs.schema[c] for c in kept), T.StructField(text_column, T.StringType())])
-    return docs.select(kept).mapInArrow(run, out)
+    return B.map_batches(docs.select(kept), run, out)
