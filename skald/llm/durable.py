@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -12,6 +13,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Small rows (a few numbers) that one task writes.
 ROWS_IN_PART = 250_000
@@ -35,10 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A place for the tables of one job in the shared folder."""
+    """A place for the tables of one job in the shared folder.
 
-    def __init__(self, spark: SparkSession, name: str):
+    A job drops its tables once nothing will read them again; what its result
+    is read from goes when the driver's Python ends.  With ``free_shuffles``
+    Spark deletes the shuffle files of each write as it ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, free_shuffles: bool = False):
         self.spark = spark
+        self.free_shuffles = free_shuffles
+        atexit.register(self._end)
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
         self._tables: dict[int, tuple[DataFrame, str]] = {}
@@ -47,7 +56,12 @@ class Scratch:
         """Write the rows and return them as read back: the lineage ends here."""
         self._made += 1
         to = f"{self.path}/{self._made:03d}"
-        df.write.parquet(to)
+        before = self.spark.conf.get(_FREE)
+        self.spark.conf.set(_FREE, str(self.free_shuffles or before == "true").lower())
+        try:
+            df.write.parquet(to)
+        finally:
+            self.spark.conf.set(_FREE, before)
         back = self.spark.read.schema(df.schema).parquet(to)
         self._tables[id(back)] = back, to
         return back
@@ -65,6 +79,11 @@ class Scratch:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
 
+    def _end(self) -> None:
+        if self._tables and self.spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone first
+                self.keep_only()
+
     def keep_only(self, *tables: DataFrame) -> None:
         """Delete all tables of this job but these."""
         keep = {id(t) for t in tables}

@@ -53,3 +53,16 @@ p as (select *, substring(x, 1, k) as pre, substring(x, k + 1, m - k) as mid, su
 select doc_id, n, form, case when form <> 'plain' then k end as prefix_chars, case when form <> 'plain' then m - k end as middle_chars,
 sha256(case form when 'plain' then x when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
 sha256(case form when 'plain' then x else pre || mid || suf end) as restored_sha256 from p"""
+
+#: Windows of words as texts, the first document of each, and the words that those of later documents cover.
+OP13 = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+p as (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from d where len(ws) >= 13),
+w as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as g from p),
+f as (select doc_id, i from (select *, min(doc_id) over (partition by g) as m from w) where m < doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as k from f),
+g as (select doc_id, list(k) as ks from gone group by doc_id),
+k as (select doc_id, ws, coalesce(ks, []) as ks from d left join g using (doc_id)),
+x as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as k from d),
+left_ as (select doc_id, string_agg(word, ' ' order by k) as t from x anti join gone using (doc_id, k) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, len(ks)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from k left join left_ using (doc_id)"""

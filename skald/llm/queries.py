@@ -18,6 +18,7 @@ from . import (
     op10_cross_parsing,
     op11_spelling_variants,
     op12_fill_middle,
+    op13_recompression,
     oracles,
 )
 
@@ -91,6 +92,11 @@ def op12_fill_middle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnsRenamed({"prefix_units": "prefix_chars", "middle_units": "middle_chars"})
 
 
+def op13_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = op13_recompression.drop_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_rule_ensemble_quality": op1_rule_ensemble_quality,
     "op2_hash_tree_shards": op2_hash_tree_shards,
@@ -104,6 +110,7 @@ QUERIES = {
     "op10_cross_parsing_language": op10_cross_parsing_language,
     "op11_even_partition_spelling": op11_even_partition_spelling,
     "op12_fill_middle_batches": op12_fill_middle_batches,
+    "op13_recompression_dedup": op13_recompression_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_partenum_jaccard": oracles.OP4, "op9_spaced_seed_leaks": oracles.OP9, "op11_even_partition_spelling": oracles.OP11, "op12_fill_middle_batches": oracles.OP12}
+ORACLE_SQL: dict[str, str] = {"op4_partenum_jaccard": oracles.OP4, "op9_spaced_seed_leaks": oracles.OP9, "op11_even_partition_spelling": oracles.OP11, "op12_fill_middle_batches": oracles.OP12, "op13_recompression_dedup": oracles.OP13}
