@@ -20,9 +20,9 @@ their ends, and each symbol here knows the words that decide it (its context).
 Two names that clash by accident on the base level only make more candidates;
 those of upper levels are told apart by a second hash of their words.
 
-Within a chunk of documents a name asks once, for its first document there, and
-settles the others there and then: a name in a third of all documents is one
-row for each chunk.  Groups are met by a window function over (name, hash),
+Within a wave of documents (some chunks of a partition) a name asks once, for
+its first document there, and settles the others there and then: a name in a
+third of all documents is one row for each wave.  Groups are met by a window function over (name, hash),
 which spills, and give no pairs.
 
 Defined results: a null text counts as empty and has no words; a null id counts
@@ -34,7 +34,7 @@ keeps all columns and replaces those that have the names of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +46,10 @@ from pyspark.sql import types as T
 from . import batches as B
 from .durable import Scratch
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+#: Names gathered, over chunks, before they are sent.
+ASKED = 600_000
 
 _LAST = (1 << 63) - 1
 _SECOND = B.mix64(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -250,8 +253,8 @@ class Known:
         return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
 
 
-# What chunks send: a name (with its second hash) that asks for its first document, with the largest document of the
-# chunk that holds it; or names that a document is told already.
+# What a wave sends: a name (with its second hash) that asks for its first document, with the largest document of the
+# wave that holds it; or names that a document is told already.
 _SHARED, _FIRST, _TOLD = 0, 1, 2
 _SENT = T.StructType([T.StructField("kind", T.ByteType())] + [T.StructField(c, T.LongType()) for c in ("name", "second", "doc", "top")] + [T.StructField("told", T.ArrayType(T.LongType()))])
 _KINDS = pa.schema([("kind", pa.int8()), ("name", pa.int64()), ("second", pa.int64()), ("doc", pa.int64()), ("top", pa.int64()), ("told", pa.list_(pa.int64()))])
@@ -262,7 +265,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _asks(kind: int, name: np.ndarray, second: np.ndarray, doc: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """(one row for each name, (doc, name) of what is told within the chunk)."""
+    """(one row for each name, and documents and names of what is told within the wave)."""
     order = np.lexsort((doc, second, name))
     name, second, doc = name[order], second[order], doc[order]
     new = np.ones(len(name), bool)
@@ -296,43 +299,70 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_column).alias("text"))
 
 
+class _Wave:
+    """What some chunks ask and are told, sent together."""
+
+    def __init__(self):
+        self.asked: list[tuple] = []
+        self.told: list[tuple] = []
+        self.size = 0
+
+    def ask(self, kind: int, name: np.ndarray, second: np.ndarray, doc: np.ndarray) -> None:
+        self.asked.append((kind, name, second, doc))
+        self.size += len(name)
+
+    def tell(self, doc: np.ndarray, name: np.ndarray) -> None:
+        self.told.append((doc, name))
+        self.size += len(name)
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        told = self.told
+        for kind in (_SHARED, _FIRST):
+            if parts := [a[1:] for a in self.asked if a[0] == kind]:
+                batch, *known = _asks(kind, *map(np.concatenate, zip(*parts)))
+                told.append(tuple(known))
+                yield batch
+        if told:
+            yield _tellings(*map(np.concatenate, zip(*told)))
+        self.__init__()
+
+
+def _waves(it: Iterator[pa.RecordBatch], config: Recompression, ask: Callable) -> Iterator[pa.RecordBatch]:
+    wave = _Wave()
+    for rows, data, off in B.chunks(it, "text", CHUNK_BYTES):
+        ask(wave, rows, Chunk.read(data, off, config))
+        if wave.size >= ASKED:
+            yield from wave.send()
+    yield from wave.send()
+
+
 def _ask_symbols(docs: DataFrame, config: Recompression) -> DataFrame:
-    def run(it):
-        for rows, data, off in B.chunks(it, "text", CHUNK_BYTES):
-            c = Chunk.read(data, off, config)
-            ids = np.asarray(B.column_of(rows, "doc"))
-            used = c.usable()
-            shared, *told = _asks(_SHARED, c.base.name[used], np.zeros(len(used), np.uint64), ids[c.base.text[used]])
-            first, *more = _asks(_FIRST, c.upper.name, c.upper_second, ids[c.upper.text])
-            yield shared
-            yield first
-            yield _tellings(*map(np.concatenate, zip(told, more)))
+    def ask(wave, rows, c):
+        ids, used = np.asarray(B.column_of(rows, "doc")), c.usable()
+        wave.ask(_SHARED, c.base.name[used], np.zeros(len(used), np.uint64), ids[c.base.text[used]])
+        wave.ask(_FIRST, c.upper.name, c.upper_second, ids[c.upper.text])
 
-    return B.map_batches(docs, run, _SENT)
+    return B.map_batches(docs, lambda it: _waves(it, config, ask), _SENT)
 
 
 def _ask_windows(docs: DataFrame, config: Recompression) -> DataFrame:
     """Of ``docs(doc, text, told)``; what upper symbols have settled is told on."""
 
-    def run(it):
-        for rows, data, off in B.chunks(it, "text", CHUNK_BYTES):
-            c = Chunk.read(data, off, config)
-            ids, known = np.asarray(B.column_of(rows, "doc")), Known(B.column_of(rows, "told"))
-            used = c.usable()
-            settled = known(c.upper.text, c.upper.name)
-            at = c.candidates(known(c.base.text[used], c.base.name[used]), settled)
-            first, *told = _asks(_FIRST, *c.names_of_windows(at), ids[c.texts_of(at)])
-            yield first
-            yield _tellings(np.concatenate([told[0], ids[c.upper.text[settled]]]), np.concatenate([told[1], c.upper.name[settled]]))
+    def ask(wave, rows, c):
+        ids, known, used = np.asarray(B.column_of(rows, "doc")), Known(B.column_of(rows, "told")), c.usable()
+        settled = known(c.upper.text, c.upper.name)
+        at = c.candidates(known(c.base.text[used], c.base.name[used]), settled)
+        wave.ask(_FIRST, *c.names_of_windows(at), ids[c.texts_of(at)])
+        wave.tell(ids[c.upper.text[settled]], c.upper.name[settled])
 
-    return B.map_batches(docs, run, _SENT)
+    return B.map_batches(docs, lambda it: _waves(it, config, ask), _SENT)
 
 
 def _answers(sent: DataFrame) -> DataFrame:
     """(doc, told): the names that each document shares or that an earlier one holds."""
     group = Window.partitionBy("kind", "name", "second")
     met = sent.withColumns({"first": F.min("doc").over(group), "last": F.max("top").over(group)})
-    # A chunk that holds a name in several documents has told them itself.
+    # A wave that holds a name in several documents has told them itself.
     asked = (F.col("kind") == _SHARED) & (F.col("first") < F.col("last")) & (F.col("doc") == F.col("top")) | (F.col("kind") == _FIRST) & (F.col("first") < F.col("doc"))
     heard = met.where(asked | (F.col("kind") == _TOLD)).select("doc", F.coalesce("told", F.array("name")).alias("told"))
     return heard.groupBy("doc").agg(F.flatten(F.collect_list("told")).alias("told"))
