@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import batches as B
-from .sampling import held_out, rows_of, sample_ids
+from .sampling import fitting_ids, held_out, one_row_each, sample_ids
 
 CHUNK_BYTES = 4 << 20
 
@@ -48,8 +48,8 @@ _DENSE = 1 << 24
 class CrossParsing:
     #: Labelled rows per language whose whole texts are the reference, at most.
     documents: int = 40
-    #: Rows with longer texts are not taken for the reference (they are judged whole, like all).
-    reference_chars: int = 20_000
+    #: Bytes of those texts per language, at most, but for a language whose shortest sampled text is longer: that one is taken.
+    reference_bytes: int = 1 << 18
     #: Letters of a document parsed in step with others.
     segment: int = 256
 
@@ -271,14 +271,16 @@ class Languages:
 def learn_languages(docs: DataFrame, config: CrossParsing = CrossParsing(), id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Languages:
     """Learn from labelled rows that are not held out (crc32 of the id, mod 5, is 0)."""
     rows = docs.select(id_column, lang_column, text_column)
-    rows = rows.where(~held_out(id_column, 5, 0) & F.col(lang_column).isNotNull() & (F.length(text_column) <= config.reference_chars))
-    ids = sample_ids(rows, id_column, lang_column, config.documents)
-    wanted = [i for group in ids.values() for i in group]
-    if not wanted:
-        return Languages.learn({}, config)
-    texts: dict[str, list[str]] = {}
-    for r in sorted(rows_of(rows, wanted, id_column).collect(), key=lambda r: (str(r[1]), r[0], r[2])):
-        texts.setdefault(r[1], []).append(r[2])
+    rows = rows.where(~held_out(id_column, 5, 0) & F.col(lang_column).isNotNull() & (F.length(text_column) > 0))
+    picked = sample_ids(rows, id_column, lang_column, 2 * config.documents)
+    chosen = fitting_ids(rows, picked, id_column, text_column, config.documents, config.reference_bytes, lang_column)
+    texts: dict[str, list[str]] = {name: [] for name, ids in chosen.items() if ids}
+    wanted = sorted({i for ids in chosen.values() for i in ids})
+    if wanted:
+        own = {(name, i) for name, ids in chosen.items() for i in ids}
+        for r in sorted(one_row_each(rows, wanted, id_column, text_column, [text_column], lang_column).collect(), key=lambda r: (r[1], r[0])):
+            if (r[1], r[0]) in own:
+                texts[r[1]].append(r[2])
     return Languages.learn(texts, config)
 
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import held_out, rows_of, sample_ids
+from .sampling import held_out, one_row_each, sample_ids
 
 
 @dataclass(frozen=True)
@@ -218,7 +218,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, config: RuleConfig = RuleC
     names = [k for k in statistics(F.col(text_column)) if not k.startswith("_q")]
     if not label_of:
         return RuleEnsemble.fit(np.zeros((0, len(names))), np.zeros(0), names, config)
-    with_q, names, mark = with_statistics(rows_of(docs.select(id_column, text_column), list(label_of), id_column), text_column)
+    with_q, names, mark = with_statistics(one_row_each(docs, list(label_of), id_column, text_column, [text_column]), text_column)
     columns = [f"{mark}_{n}" for n in names]
     found = with_q.select(id_column, *columns).toPandas().sort_values([id_column, *columns])
     y = found[id_column].map(label_of).to_numpy()

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import batches as B
-from .sampling import held_out, rows_of, sample_ids
+from .sampling import fitting_ids, held_out, one_row_each, sample_ids
 
 
 @dataclass(frozen=True)
@@ -50,8 +50,8 @@ class CnnConfig:
     widths: tuple[int, ...] = (1, 2, 3)
     #: Labelled rows per class to train on, at most.
     per_class: int = 3_000
-    #: Sampled rows with longer texts are not trained on (they are scored whole, like all), so the sample's size is bounded.
-    train_chars: int = 20_000
+    #: Bytes of their texts per class, at most; where no text of a class fits, its shortest sampled one is taken.
+    train_bytes: int = 16 << 20
     epochs: int = 6
     batch: int = 48
     rate: float = 0.08
@@ -258,16 +258,16 @@ def _threshold(value: np.ndarray, y: np.ndarray) -> float:
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, config: CnnConfig = CnnConfig(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", lang_column: str = "lang") -> TextCnn:
     """Train on a bounded sample of labelled rows that are not held out (crc32 of the id, mod 4, is 2)."""
-    ids = sample_ids(labels.where(~held_out(id_column, 4, 2)), id_column, label_column, config.per_class)
+    picked = sample_ids(labels.where(~held_out(id_column, 4, 2)), id_column, label_column, 2 * config.per_class)
+    ids = fitting_ids(docs, picked, id_column, text_column, config.per_class, config.train_bytes)
     label_of = {i: int(y) for y, own in ids.items() for i in own}
     found: list[tuple] = []
     if label_of:
         lang = F.col(lang_column) if lang_column in docs.columns else F.lit(None).cast("string")
-        rows = rows_of(docs.select(id_column, text_column, lang.alias("lang")), list(label_of), id_column)
-        rows = rows.where(F.length(F.coalesce(text_column, F.lit(""))) <= config.train_chars)
+        rows = one_row_each(docs.select(id_column, F.col(text_column).alias("text"), lang.alias("lang")), list(label_of), id_column, "text", ["text", "lang"])
 
         def run(it):
-            for chunk, data, off in B.chunks(it, text_column):
+            for chunk, data, off in B.chunks(it):
                 buckets, edge = word_buckets(data, off, config)
                 yield pa.RecordBatch.from_arrays(
                     [B.column_of(chunk, id_column), B.column_of(chunk, "lang"), pa.ListArray.from_arrays(pa.array((edge * buckets.shape[1]).astype(np.int32)), pa.array(buckets.astype(np.int32).ravel()))],
@@ -275,7 +275,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, config: CnnConfig = CnnCo
                 )
 
         out = T.StructType([docs.schema[id_column], T.StructField("lang", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-        table = rows.mapInArrow(run, out).toArrow()
+        table = B.map_batches(rows, run, out).toArrow()
         lists = table.column("ids").combine_chunks()
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)

@@ -14,7 +14,7 @@ def held_out(id_column: str, modulus: int, remainder: int) -> Column:
 
 
 def sample_ids(rows: DataFrame, id_column: str, class_column: str, per_class: int) -> dict[object, list]:
-    """Up to ``per_class`` ids of each class, those of lowest hash.
+    """Up to ``per_class`` ids of each class, those of lowest hash, in its order.
 
     Two passes over ids and classes alone; the driver gets the class counts and
     about twice the sample.
@@ -38,3 +38,40 @@ def rows_of(rows: DataFrame, ids: list, id_column: str) -> DataFrame:
     # As Arrow: a local relation, made without Python on the executors.
     wanted = rows.sparkSession.createDataFrame(pa.table({id_column: pa.array(ids)}), T.StructType([rows.schema[id_column]]))
     return rows.join(F.broadcast(wanted), id_column, "left_semi")
+
+
+def _keys(id_column: str, class_column: str | None) -> list[str]:
+    return [id_column] if class_column is None else [id_column, class_column]
+
+
+def fitting_ids(docs: DataFrame, picked: dict[object, list], id_column: str, text_column: str, per_class: int, class_bytes: int, class_column: str | None = None) -> dict[object, list]:
+    """Of each class's ids, in their order, those that fit: ``per_class`` at most, of ``class_bytes`` of text in all.
+
+    The sizes are measured, an id's is that of its shortest row.  Where no text
+    of a class fits, its shortest is taken: no class is lost, however long its
+    texts.  The driver gets one number for each id.
+    """
+    wanted = [i for ids in picked.values() for i in ids]
+    if not wanted:
+        return {}
+    size = F.min(F.octet_length(F.coalesce(text_column, F.lit("")))).alias("_size")
+    measured = rows_of(docs, wanted, id_column).groupBy(*_keys(id_column, class_column)).agg(size).collect()
+    sizes = {(r[0], r[1] if class_column else None): r["_size"] for r in measured}
+    out: dict[object, list] = {}
+    for c, ids in picked.items():
+        there = [(i, sizes[key]) for i in ids if (key := (i, c if class_column else None)) in sizes]
+        room, own = class_bytes, []
+        for i, n in there:
+            if n <= room and len(own) < per_class:
+                own.append(i)
+                room -= n
+        out[c] = own or [min(there, key=lambda x: x[1])[0]] if there else []
+    return out
+
+
+def one_row_each(docs: DataFrame, ids: list, id_column: str, text_column: str, columns: list[str], class_column: str | None = None) -> DataFrame:
+    """(id, class, columns) of the shortest row of each of these ids, so that an id on very many rows is one row."""
+    keys = _keys(id_column, class_column)
+    text = F.coalesce(text_column, F.lit(""))
+    best = F.min_by(F.struct(*columns), F.struct(F.octet_length(text), F.xxhash64(text))).alias("_row")
+    return rows_of(docs, ids, id_column).groupBy(*keys).agg(best).select(*keys, "_row.*")
