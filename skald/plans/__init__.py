@@ -1,3 +1,3 @@
 """The query catalogue; the other modules add to the tables that ``catalogue`` starts."""
 
-from . import catalogue, lore, messages, records, state  # noqa: F401
+from . import catalogue, lore, messages, records, state, steps  # noqa: F401
