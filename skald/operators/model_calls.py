@@ -41,6 +41,26 @@ def ask(rows: DataFrame, prompt: Column, open_caller: Callable[[], Callable[[str
     return given.mapInArrow(run, out).withColumn(into, F.from_json("_json", schema)).drop("_json")
 
 
+def ask_text(rows: DataFrame, prompt: Column, open_caller: Callable[[], Callable[[str], str]], into: str = "answer") -> DataFrame:
+    """Adds the answer as plain text; null where there is no prompt or the model fails."""
+    given = rows.withColumn("_prompt", prompt)
+    at, names = len(rows.columns), [*rows.columns, into]
+
+    def run(it):
+        call = None
+        for batch in it:
+            answers = []
+            for p in batch.column(at).to_pylist():
+                try:
+                    call = call or open_caller()
+                    answers.append(None if p is None else call(p))
+                except Exception:
+                    answers.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(answers, pa.string())], names=names)
+
+    return given.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
+
+
 def translated(rows: DataFrame, text: str, answer: Column) -> DataFrame:
     """Adds ``content_en``: the answer, or the text itself where there is none."""
     return rows.withColumn("content_en", F.coalesce(F.nullif(F.trim(answer), F.lit("")), F.col(text)))
