@@ -91,8 +91,8 @@ def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
 
 _NAMES = "array<string>"
 _SCENE = ("text",)
-_WHEN = "when: struct<period: string, time_of_day: string, duration: string>"
-_WHERE = "where: struct<locations: array<struct<canonical_name: string, description: string, attributes: array<string>>>>"
+_WHEN = "`when` struct<period: string, time_of_day: string, duration: string>"
+_WHERE = "`where` struct<locations: array<struct<canonical_name: string, description: string, attributes: array<string>>>>"
 _CHARACTER = "struct<canonical_name: string, author: string, appellations: array<string>, description_physical: string, description_psychological: string, job: string, relations: array<struct<character: string, relation: string>>>"
 _EMPTY = "array()"
 
