@@ -151,9 +151,10 @@ def ordered(rows: DataFrame, keys: list[str], order: list[str], value: str) -> D
     return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.transform(sorted_, lambda x: x["_v"]).alias("items"))
 
 
-def ordered_union(items: Column) -> Column:
-    """First occurrences in order; case is ignored by lower-casing all."""
-    return F.array_distinct(F.transform(items, F.lower))
+def ordered_union(items: Column, there: Column | None = None) -> Column:
+    """What is ``there``, as it stands, then the items that it lacks in lower case, in order of first occurrence; case is ignored."""
+    low = F.array_distinct(F.transform(items, F.lower))
+    return low if there is None else F.concat(there, F.array_except(low, F.transform(there, F.lower)))
 
 
 def axis_fold(items: Column) -> Column:

@@ -9,15 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .analytics import clusters, name_pairs
 from .text import name_norm, strip
 
 # Fixed values of the record rules: words that are no names, in the languages of the logs.
+#: In what a scene's synthesis tells.
 PRONOUNS = (
     "he", "she", "it", "they", "him", "her", "his", "hers", "their", "theirs",
     "i", "me", "my", "you", "we", "us", "one", "someone", "anyone", "nobody",
     "il", "elle", "ils", "elles", "lui", "leur", "je", "tu", "nous", "vous", "on",
     "ce", "ceci", "cela", "ça", "celui", "celle", "ceux",
 )
+#: In the entities of a scene.
+ENTITY_PRONOUNS = (
+    "he", "she", "it", "they", "him", "her", "his", "hers", "their", "theirs",
+    "i", "me", "my", "mine", "you", "your", "yours", "we", "us", "our", "ours",
+    "this", "that", "these", "those", "who", "whom", "whose", "one", "someone",
+    "anyone", "everyone", "nobody", "somebody", "the", "a", "an",
+    "il", "elle", "ils", "elles", "lui", "leur", "leurs",
+    "je", "moi", "tu", "te", "toi", "nous", "vous", "on", "se", "soi",
+    "ce", "ceci", "cela", "ça", "qui", "que", "quoi", "dont", "où",
+    "celui", "celle", "ceux", "celles", "lequel", "laquelle", "lesquels", "lesquelles",
+    "le", "la", "les", "un", "une", "des", "du",
+)
 MAX_ANSWER_CONTEXT = 14_000
 EVENTS_IN_DIGEST, LINKS_IN_DIGEST, RELATIONS_IN_DIGEST = 10, 8, 6
 
@@ -39,7 +53,7 @@ def authors_of(messages: DataFrame, keys: list[str], author: str) -> DataFrame:
     return messages.where(F.coalesce(F.col(author), F.lit("")) != "").groupBy(*keys).agg(F.sort_array(F.collect_set(author)).alias("authors"))
 
 
-def spoken_names(names: Column, authors: Column, pronouns: tuple[str, ...] = PRONOUNS) -> Column:
+def spoken_names(names: Column, authors: Column, pronouns: tuple[str, ...] = ENTITY_PRONOUNS) -> Column:
     """The names that are neither empty, a pronoun nor an author's."""
     return F.filter(_list(names), lambda x: (folded(x) != "") & ~folded(x).isin(*pronouns) & ~_holds(authors, x))
 
@@ -90,18 +104,38 @@ def related_pairs(relations: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda r: F.struct(F.lower(r["character"]).alias("character"), F.lower(F.coalesce(r["relation"], F.lit(""))).alias("relation"))))
 
 
-def _missing_in(names: Column):
-    return lambda x: ~_holds(names, x)
+def _told(value: Column) -> Column:
+    """The text unless it is empty or says unknown."""
+    return F.when(~value.isin("", "unknown"), value)
+
+
+def _filled_list(own: Column, lore: Column) -> Column:
+    """The own items, then those of the lore that are not there yet, each once; case is ignored."""
+    more = F.aggregate(_list(lore), F.array().cast("array<string>"), lambda kept, x: F.when(_holds_case(F.concat(own, kept), x), kept).otherwise(F.concat(kept, F.array(x))))
+    return F.concat(own, more)
+
+
+def _holds_case(items: Column, x: Column) -> Column:
+    return F.exists(items, lambda y: F.lower(y) == F.lower(x))
 
 
-def gap_filled(found: DataFrame, lore: DataFrame, name: str, fields: list[str], lists: list[str]) -> DataFrame:
-    """Extracted records with what they lack taken from the lore: empty fields, and list items not there yet, after their own."""
-    old = lore.select(folded(F.col(name)).alias("_name"), *(F.col(c).alias(f"_old_{c}") for c in (*fields, *lists))).dropDuplicates(["_name"])
+def gap_filled(found: DataFrame, lore: DataFrame, name: str, fields: list[str], lists: list[str], goals: list[str] = []) -> DataFrame:
+    """Extracted records with what they lack taken from the lore.
+
+    A field that is empty or says unknown takes the lore's, unless that says no
+    more; a list gets the lore's items that it lacks; the lists of ``goals`` are
+    taken from the lore only if all of them are empty.  Of several lore records
+    of a name (case ignored) the least one counts.
+    """
+    taken = [*fields, *lists, *goals]
+    old = lore.where(F.col(name).isNotNull()).groupBy(folded(F.col(name)).alias("_name")).agg(F.min(F.struct(*taken)).alias("_old"))
     joined = found.join(old, folded(F.col(name)) == F.col("_name"), "left")
-    made = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_old_{c}"), F.lit("")) for c in fields}
-    for c in lists:
-        own, more = _list(F.col(c)), _list(F.col(f"_old_{c}"))
-        made[c] = F.concat(own, F.filter(more, _missing_in(own)))
+    made = {c: F.coalesce(_told(F.col(c)), _told(F.col(f"_old.{c}")), F.col(c), F.lit("")) for c in fields}
+    made |= {c: _filled_list(_list(F.col(c)), F.col(f"_old.{c}")) for c in lists}
+    aimless = F.lit(True)
+    for c in goals:
+        aimless = aimless & (F.size(_list(F.col(c))) == 0)
+    made |= {c: F.when(aimless, _list(F.col(f"_old.{c}"))).otherwise(_list(F.col(c))) for c in goals}
     return joined.select(*(made[c].alias(c) if c in made else F.col(c) for c in found.columns))
 
 
@@ -137,7 +171,8 @@ def lacking_description(rows: DataFrame, scenes: str, description: str, beyond:
 
 
 def scaled_degrees(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, degree, size): distinct neighbours, and a size from 300 to 1800 by the largest degree."""
+    """(node, degree, size): distinct neighbours, and a size from 300 to 1800 by the largest degree; loops are no edges."""
+    edges = edges.where(F.col(a) != F.col(b))
     ends = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct()
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     largest = degree.agg(F.max("degree").alias("_largest"))  # one row
@@ -176,8 +211,8 @@ def within_budget(text: Column, most: int = MAX_ANSWER_CONTEXT) -> Column:
 def elect_names(members: DataFrame, root: str, name: str, order: str, anchors: DataFrame | None = None) -> DataFrame:
     """(root, canonical): the name that stands for each cluster.
 
-    A manual anchor of some member wins (``anchors(alias, canonical)``; the
-    earliest member's), else the longest base name among members without
+    A manual anchor of some member wins (``anchors(alias, canonical)``, by its whole name;
+    the earliest member's), else the longest base name among members without
     parentheses, or among all where every member has some; the earliest of
     equals.
     """
@@ -193,6 +228,28 @@ def elect_names(members: DataFrame, root: str, name: str, order: str, anchors: D
     return rows.groupBy("root").agg(F.coalesce(anchor, best).alias("canonical"))
 
 
+def anchored_clusters(names: DataFrame, name: str, anchors: DataFrame) -> DataFrame:
+    """(canonical, name) of all distinct names in lower case: names of one cluster with the name that stands for it.
+
+    ``anchors`` is (canonical, aliases).  A name that is an anchor's canonical
+    name or alias, as it stands or without what is in parentheses, is in that
+    anchor's cluster; then names that match join.  The earliest member by
+    ``place``, a column of ``names``, elects where others are equal.
+    """
+    own = names.where(F.length(name) > 0).groupBy(F.lower(name).alias("name")).agg(F.min("place").alias("place"))
+    known = anchors.select("canonical", F.explode(F.concat(F.array("canonical"), _list(F.col("aliases")))).alias("alias"))
+    known = known.groupBy(F.lower("alias").alias("alias")).agg(F.min("canonical").alias("canonical"))
+    by_name = own.join(known, F.col("alias") == F.col("name")).select("name", "canonical")
+    by_base = own.join(known, F.col("alias") == name_norm(F.col("name"))).select("name", F.col("canonical").alias("other"))
+    seeded = own.join(by_name, "name", "left").join(by_base, "name", "left").select("name", F.coalesce("canonical", "other").alias("canonical"))
+    # An anchor is a node of its own kind: a name cannot be one.
+    seeds = seeded.where("canonical is not null").select(F.col("name").alias("a"), F.concat(F.lit("\x00"), F.lower("canonical")).alias("b"))
+    roots = clusters(name_pairs(own, "name").union(seeds))
+    members = own.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    elected = elect_names(members, "root", "name", "place", known.select("alias", "canonical"))
+    return members.join(elected, "root").select("canonical", "name")
+
+
 def voice_lines(messages: DataFrame, keys: list[str], order: str, text: str, name: str) -> DataFrame:
     """(keys, order, n, line): what a character does and says, of the messages that name it.
 
