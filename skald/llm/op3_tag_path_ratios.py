@@ -8,12 +8,15 @@ with the unlinked share, and compared with the page's mean, weighted by text.
 The paths' blocks that reach a share of it are content nodes.  They elect the
 content subtree with their ratios: the deepest element that has most of them,
 widened to parents that add only headings and further content nodes.  Short
-paragraphs inside it are kept although they alone would not pass, unless their
-path is made mostly of links.
+paragraphs inside it are kept although they alone would not pass, and so are its
+linked headings and lists, unless the subtree as a whole is made much of links.
 
 What elements, roles, classes and ids say only weighs: inside menus, headers,
 footers, asides, forms and the like a block's ratio counts less, and it is kept
-only if it passes all the same.  Article and main elements have no privilege.
+only if it passes all the same.  Where such elements win the election with most
+of the ratios, over a short article, it is held again without them.  A form
+around an article or main heading is no such form.  Article and main elements
+have no privilege.
 Scripts, styles and other elements without text of the page are left out.
 
 Reading and choosing take time and memory in proportion to the page, also for
@@ -55,7 +58,7 @@ _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search di
 _BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead banner "
     "footer comment comments respond reply replies disqus cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login related "
-    "recommended share sharing social toolbar pagination pager side".split()
+    "discussion discussions thread threads recommended share sharing social toolbar pagination pager side".split()
 )
 _NEUTRAL_NAMES = frozenset(
     "area bar block body bottom box button buttons container content group icons inline inner item items left link links list main outer page panel post posts primary "
@@ -82,8 +85,13 @@ class TagPathConfig:
     named_weight: float = 0.05
     #: Share of the content nodes' ratios that the content subtree holds.
     majority: float = 0.75
-    #: A path with more of its text in links than this is a menu.
+    #: A path with more of its text in links than this is a menu, unless it is a part of a content subtree with fewer links than the next share.
     max_linked: float = 0.6
+    subtree_linked: float = 0.4
+    #: Menus, footers, forms and the like with more of the elected ratios than this lose their votes,
+    besides_share: float = 0.5
+    #: if there are so many characters outside of them.
+    least_article: int = 20
 
 
 @dataclass
@@ -96,13 +104,15 @@ class Block:
 
 @dataclass
 class Page:
-    """Blocks in order; of each element its tag, parent, path and what ratios inside it weigh.  Element 0 is the page."""
+    """Blocks in order; of each element its tag, parent, path, what ratios inside it weigh, what its names leave of that, and whether its tag says menu, footer or the like.  Element 0 is the page."""
 
     blocks: list[Block] = field(default_factory=list)
     tags: list[str] = field(default_factory=lambda: [""])
     parents: list[int] = field(default_factory=lambda: [-1])
     paths: list[int] = field(default_factory=lambda: [0])
     weights: list[float] = field(default_factory=lambda: [1.0])
+    named: list[float] = field(default_factory=lambda: [1.0])
+    besides: list[bool] = field(default_factory=lambda: [False])
 
 
 def weight_of(attributes: str, config: TagPathConfig) -> float:
@@ -250,16 +260,16 @@ def read_page(page: str, config: TagPathConfig) -> Page:
         if tag == "tr" and (place := scopes[-1].get("td", 0)):
             pop_to(place)
         parent = stack[-1]
-        weight = out.weights[parent]
-        if attributes and tag not in ("html", "body", "article", "main"):
-            weight = min(weight, weight_of(attributes, config))
-        if tag in _BOILER_TAGS and not (tag == "header" and articles):
-            weight = min(weight, config.tag_weight)
+        named = weight_of(attributes, config) if attributes and tag not in ("html", "body", "article", "main") else 1.0
+        besides = tag in _BOILER_TAGS and not (tag == "header" and articles)
+        weight = min(out.weights[parent], named, config.tag_weight if besides else 1.0)
         key = out.paths[parent], tag, weight
         out.tags.append(tag)
         out.parents.append(parent)
         out.paths.append(known.setdefault(key, len(known) + 1))
         out.weights.append(weight)
+        out.named.append(named)
+        out.besides.append(besides)
         stack.append(len(out.tags) - 1)
         open_[tag] = open_.get(tag, 0) + 1
         articles += tag in ("article", "main")
@@ -273,6 +283,24 @@ def read_page(page: str, config: TagPathConfig) -> Page:
     return out
 
 
+def beside_article(page: Page, config: TagPathConfig) -> list[bool]:
+    """For each element, whether it or one around it is a menu, footer, form or the like.
+
+    A form around an article or main heading is no such element, and what is in
+    it weighs as if it were not there.
+    """
+    holds = [tag in ("article", "main", "h1") for tag in page.tags]
+    for e in range(len(holds) - 1, 0, -1):
+        holds[page.parents[e]] |= holds[e]
+    out = [False] * len(holds)
+    for e in range(1, len(holds)):
+        parent = page.parents[e]
+        own = page.besides[e] and not (page.tags[e] == "form" and holds[e])
+        out[e] = out[parent] or own
+        page.weights[e] = min(page.weights[parent], page.named[e], config.tag_weight if own else 1.0)
+    return out
+
+
 def fused_ratios(page: Page, config: TagPathConfig) -> np.ndarray:
     """The smoothed and fused tag-path ratio of each block, before names weigh."""
     sums: dict[int, list[float]] = {}
@@ -323,6 +351,9 @@ def main_text(html: str | None, config: TagPathConfig = TagPathConfig()) -> str:
         return ""
     ratios = fused_ratios(page, config)
     sizes = np.array([len(b.text) for b in page.blocks], float)
+    links = np.array([b.linked for b in page.blocks])
+    beside = beside_article(page, config)
+    besides = np.array([beside[b.element] for b in page.blocks])
     weights = np.array([page.weights[b.element] for b in page.blocks])
     linked: dict[int, list[int]] = {}
     for b in page.blocks:
@@ -331,15 +362,27 @@ def main_text(html: str | None, config: TagPathConfig = TagPathConfig()) -> str:
         total[1] += len(b.text)
     menu = np.array([linked[b.path][0] > config.max_linked * linked[b.path][1] for b in page.blocks])
     weighted = weights * ratios
-    content = (weighted > 0) & (weighted >= config.threshold * np.average(ratios, weights=sizes))
-    kept = content | ((weights == 1) & ~menu)
-    if not content.any():
-        return " ".join(b.text for b, good in zip(page.blocks, kept.tolist()) if good)
-    chosen = _content_subtree(page, content, weighted, config)
-    inside = [e == chosen for e in range(len(page.tags))]
-    for e in range(chosen + 1, len(inside)):
-        inside[e] = inside[page.parents[e]]
-    return " ".join(b.text for b, good in zip(page.blocks, kept.tolist()) if good and inside[b.element])
+    voters = np.ones(len(sizes), bool)
+    while True:
+        content = voters & (weighted > 0) & (weighted >= config.threshold * np.average(ratios[voters], weights=sizes[voters]))
+        kept = content | (voters & (weights == 1) & ~menu)
+        if not content.any():
+            return " ".join(b.text for b, good in zip(page.blocks, kept.tolist()) if good)
+        chosen = _content_subtree(page, content, weighted, config)
+        inside = [e == chosen for e in range(len(page.tags))]
+        for e in range(chosen + 1, len(inside)):
+            inside[e] = inside[page.parents[e]]
+        within = np.array([inside[b.element] for b in page.blocks])
+        elected = np.where(content & within, weighted, 0)
+        # A menu, footer or form that outdoes a short article has no vote.
+        plain = ~besides & (weights == 1) & ~menu
+        if elected[besides].sum() <= config.besides_share * elected.sum() or sizes[plain].sum() < config.least_article or not voters[besides].any():
+            break
+        voters = ~besides
+    own = voters & (weights == 1) & within
+    if links[own].sum() <= config.subtree_linked * sizes[own].sum():
+        kept |= own  # linked headings and lists of an article are the article's
+    return " ".join(b.text for b, good in zip(page.blocks, (kept & within).tolist()) if good)
 
 
 def extract_text(pages: DataFrame, config: TagPathConfig = TagPathConfig(), id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

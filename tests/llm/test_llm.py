@@ -274,6 +274,21 @@ def test_op3_pages():
     assert op3.main_text("a < b <p>c") == "a < b c" and op3.main_text("<p>a<!-- never closed <p>b") == "a"
 
 
+def test_op3_short_articles_and_linked_parts():
+    page = lambda b: f"<html><body>{b}</body></html>"
+    short, long = "A short note of one paragraph, no more than this.", "Some long notice of the site, with commas, and more. " * 8
+    for tag in ("footer", "form", "aside", "nav", "dialog"):
+        assert op3.main_text(page(f"<div><p>{short}</p></div><{tag}><p>{long}</p></{tag}>")) == short
+        assert op3.main_text(page(f"<{tag}><p>{long}</p></{tag}><article><p>{short}</p></article>")) == short
+        assert op3.main_text(page(f"<{tag}><p>{long}</p></{tag}>")) == long.strip()  # nothing else is there
+    assert op3.main_text(page(f"<form><header>site</header><div><h1>T</h1><p>{long}</p></div><input></form>")) == f"T {long.strip()}"
+    article = f'<article><h1><a href="x">Title</a></h1><p>{long}</p><h2><a href="y">Part</a></h2><p>{long}</p><ul><li><a href="z">First source</a></li><li><a href="w">Second source</a></li></ul></article>'
+    menu = "<div><ul>" + "".join(f'<li><a href="{k}">Menu {k}</a></li>' for k in range(9)) + "</ul></div>"
+    assert op3.main_text(page(menu + article + menu)) == f"Title {long.strip()} Part {long.strip()} First source Second source"
+    talk = "".join(f'<div class="thread"><b>Ann</b><p>{short}</p></div>' for _ in range(12))
+    assert op3.main_text(page(f'<div><p>{long}</p></div><div class="discussion">{talk}</div>')) == long.strip()
+
+
 def test_op3_ratios_decide_and_names_of_articles_do_not(spark, monkeypatch):
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     plain = [re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", h) for h in pages]
