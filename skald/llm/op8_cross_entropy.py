@@ -12,8 +12,9 @@ goes, packed by text chunk, to the partition of that word, where all its
 occurrences meet: counts of the word and its pairs are complete there, and what
 each document gains or loses by them is sent back, packed by text chunk again,
 and added up.  A word that is not among the most frequent is too rare to make
-one partition heavy; a partition's occurrences are held in memory, so shuffle
-partitions are to grow with the input.
+one partition heavy, as long as the corpus has less than some 1e10 tokens: beyond
+that, the heaviest of them alone fills a partition.  A partition's occurrences
+are held in memory; the number of partitions follows the counted occurrences.
 
 Defined results: a null or empty text has no tokens and zero losses; an empty
 target makes both models uniform over what smoothing leaves; one unseen word
@@ -42,6 +43,9 @@ SENT_BYTES = 1 << 22
 #: Neighbours that are no rare word: nothing before, a frequent word before (its place), and the same after the word.
 _START, _AFTER = np.uint64(0), np.uint64(1 << 32)
 
+#: Occurrences of rare words that meet in one partition on the average, at most.
+SITE_OCCURRENCES = 1_500_000
+
 _SENT = "site int, chunk long, word binary, other binary, keys binary, counts binary, targets binary"
 _BACK = "chunk long, keys binary, target binary, background binary"
 
@@ -167,7 +171,7 @@ def send_rare(docs: DataFrame, hot, sites: int, text_column: str) -> DataFrame:
     return docs.mapInArrow(run, _SENT).repartitionById(sites, "site")
 
 
-def score_rare(sent: DataFrame, shared, config: LmConfig) -> DataFrame:
+def score_rare(sent: DataFrame, shared, config: LmConfig, sites: int) -> DataFrame:
     """Packed (key, target, background): what documents' losses gain at each site; every word's rows are in one partition."""
 
     def run(it):
@@ -210,7 +214,7 @@ def score_rare(sent: DataFrame, shared, config: LmConfig) -> DataFrame:
             known, doc = np.unique(keys, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(known), *(pa.array(np.bincount(doc, g)) for g in gains)], names=["_key", "_target", "_background"])
 
-    return sent.mapInArrow(run, _BACK).repartition("chunk").mapInArrow(add, "_key long, _target double, _background double")
+    return sent.mapInArrow(run, _BACK).repartition(sites, "chunk").mapInArrow(add, "_key long, _target double, _background double")
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, config: LmConfig = LmConfig(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -225,7 +229,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, config: LmConfig = L
     top = words.orderBy(F.desc("n"), "word").limit(config.hot if whole else config.vocabulary).toPandas()
     vocabulary = np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
     width = len(vocabulary) + 1
-    size = words.count() + 1 if whole else width
+    n_words, n_tokens = words.agg(F.count(F.lit(1)), F.sum("n")).first()
+    size = n_words + 1 if whole else width
     scratch.drop(words)
     ids = target_ids.select(id_column).where(F.col(id_column).isNotNull()).distinct()
     few = ids.limit(config.broadcast_ids + 1).count() <= config.broadcast_ids
@@ -266,9 +271,10 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, config: LmConfig = L
     made = marked.select(id_column, text_column, "_key").mapInArrow(run, T.StructType([docs.schema[id_column], *fields]))
     if whole:
         hot = context.broadcast([(t.sum() + size, unigrams(t, size)) for t in table])
-        sites = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rare = (n_tokens or 0) - int(top["n"].sum())
+        sites = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rare // SITE_OCCURRENCES))
         sent = send_rare(marked.select(text_column, "_target", "_key"), context.broadcast(vocabulary), sites, text_column)
-        made = made.withColumn("_copies", F.lit(1)).unionByName(score_rare(sent, hot, config), allowMissingColumns=True)
+        made = made.withColumn("_copies", F.lit(1)).unionByName(score_rare(sent, hot, config, sites), allowMissingColumns=True)
     else:
         made = made.withColumn("_copies", F.lit(1))
     sums = (F.sum(c).alias(c) for c in ("_copies", "_tokens", "_target", "_background"))
