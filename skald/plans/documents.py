@@ -47,3 +47,44 @@ def character_sheets(spark, sf):
         F.col("l_orderkey").alias("scene"), F.struct("l_partkey", "l_linenumber").alias("pos"), "from_char", "to_char", F.col("l_returnflag").alias("relation_type"), F.col("l_linestatus").alias("sentiment"))
     summaries = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("scene"), F.when(~F.col("o_orderpriority").startswith("5"), F.col("o_orderpriority")).alias("summary"))
     return sheets.character_sheets(who, relations, summaries).select("slug", F.md5("sheet").alias("digest"))
+
+
+_LORE = r"""s as (select s_suppkey as k, s_name as name, r_name as region from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey where s_suppkey < 60),
+ent as (select 'characters' as category, name, 'P:' || name as profile, k from s union all select 'places', r_name, 'R:' || r_name, -1 - r_regionkey from region),
+app as (select distinct l_suppkey as k, l_orderkey as scene from lineitem where l_suppkey < 60),
+q as (select k as question_id, case when k % 3 = 0 then 'Where is ' || upper(name) || ' of ' || region || '?' when k % 3 = 1 then 'And ' || lower(region) || '?' else 'Whatever' end as question from s where k < 30),
+hit as (select question_id, category, name, profile, ent.k from q join ent on contains(lower(question), lower(name))),
+rel as (select l_orderkey as scene, (l_partkey, l_linenumber) as pos, a.name as f, b.name as t, l_returnflag as r, l_linestatus as st from lineitem join s a on a.k = l_suppkey join s b on b.k = l_partkey % 60),
+rn as (select *, row_number() over (partition by question_id order by scene, pos) as n from (select distinct question_id, scene, pos, lower(f) as f, lower(t) as t, r, st from rel join hit on category = 'characters' and (f = name or t = name))),
+p1 as (select question_id, string_agg(profile, chr(10) || chr(10) order by category, name) as part from hit group by 1),
+p2 as (select question_id, '[CHARACTER RELATIONS]' || chr(10) || string_agg('  ' || f || ' → ' || t || ' (' || r || ', ' || st || '): ', chr(10) order by scene, pos) as part from rn where n <= 15 group by 1),
+sn as (select question_id, scene, row_number() over (partition by question_id order by scene) as n from (select distinct question_id, scene from hit join app using (k))),
+p3 as (select question_id, '[RELEVANT SCENES]' || chr(10) || string_agg('card ' || scene, chr(10) || chr(10) order by scene) as part from sn where n <= 8 group by 1),
+late as (select '[RECENT NARRATIVE CONTEXT]' || chr(10) || string_agg('- ' || scene || ': x', chr(10) order by scene) as part from (select o_orderkey as scene from orders order by 1 desc limit 8))"""
+
+
+@query(rf"""with {_LORE} select q.question_id, case when question_id % 3 = 2 then 'entity' when question like 'And%' then 'and' else 'where' end as intent,
+md5(coalesce(nullif(concat_ws(chr(10) || chr(10), p1.part, p2.part, p3.part), ''), late.part)) as context from q left join p1 using (question_id) left join p2 using (question_id) left join p3 using (question_id), late""")
+def question_contexts(spark, sf):
+    """Questions routed by a table of patterns, each with the context of whoever it names."""
+    from ..operators import questions as Q
+
+    regions, nations = _t(spark, sf, "region"), _t(spark, sf, "nation")
+    who = _t(spark, sf, "supplier").where("s_suppkey < 60").join(F.broadcast(nations), F.col("n_nationkey") == F.col("s_nationkey")).join(F.broadcast(regions), F.col("r_regionkey") == F.col("n_regionkey")).select("s_suppkey", "s_name", "r_name")
+    lines = _t(spark, sf, "lineitem")
+    apps = lines.where("l_suppkey < 60").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_set("l_orderkey").alias("appearances"))
+    none = F.array().cast("array<string>")
+    people = who.join(apps, "s_suppkey", "left").select(F.lit("characters").alias("category"), F.col("s_name").alias("name"), none.alias("appellations"), F.concat(F.lit("P:"), "s_name").alias("profile"), "appearances")
+    places = regions.select(F.lit("places").alias("category"), F.col("r_name").alias("name"), none.alias("appellations"), F.concat(F.lit("R:"), "r_name").alias("profile"), F.array().cast("array<bigint>").alias("appearances"))
+    ends = lambda key, c: who.select(F.col("s_suppkey").alias(key), F.col("s_name").alias(c))
+    relations = lines.withColumns({"_a": F.col("l_suppkey"), "_b": F.col("l_partkey") % 60}).join(ends("_a", "from_char"), "_a").join(ends("_b", "to_char"), "_b").select(
+        F.col("l_orderkey").alias("scene"), F.struct("l_partkey", "l_linenumber").alias("pos"), "from_char", "to_char", F.col("l_returnflag").alias("relation_type"), F.col("l_linestatus").alias("sentiment"), F.lit("").alias("description"))
+    axes = spark.createDataFrame([], "place long, name string, summary string, elements array<string>")
+    cards = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("scene"), F.concat(F.lit("card "), F.col("o_orderkey").cast("string")).alias("card"), F.lit("x").alias("synthesis"))
+    kind = F.col("s_suppkey") % 3
+    said = F.when(kind == 0, F.concat(F.lit("Where is "), F.upper("s_name"), F.lit(" of "), "r_name", F.lit("?"))).when(kind == 1, F.concat(F.lit("And "), F.lower("r_name"), F.lit("?"))).otherwise("Whatever")
+    asked = who.where("s_suppkey < 30").select(F.col("s_suppkey").alias("question_id"), said.alias("question"))
+    intents = Q.intents_of(spark.createDataFrame([(0, "where", r"\bwhere\b"), (1, "and", "^and ")], "place long, intent string, pattern string"))
+    about = lambda rows: Q.about_entities(rows, people.union(places), relations, axes, cards)
+    found = Q.dispatched(Q.routed(asked, intents), {"entity": about})
+    return found.select("question_id", "intent", F.md5("context").alias("context"))
