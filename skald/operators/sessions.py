@@ -99,30 +99,6 @@ def previous_of(rows: DataFrame, keys: list[str], order: list[str], column: str,
     return rows.withColumn(name, F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def merge_small_scenes(scenes: DataFrame, key: str, order: str, n: str, first_ts: str, last_ts: str, small: int = 15, max_gap_hours: int = 240) -> DataFrame:
-    """Per scene, the scene it is merged into: a small one joins the grown scene before it unless the gap is too long.
-
-    Only scene-level rows meet in one task, one key at a time, as the target
-    grows with each merge.
-    """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        target, end, out = None, None, []
-        for row in pdf.itertuples(index=False):
-            start, own, size = getattr(row, first_ts), getattr(row, order), getattr(row, n)
-            gap = None if end is None or pd.isna(start) or pd.isna(end) else (start - end).total_seconds() / 3600
-            if target is None or size >= small or (gap is not None and gap > max_gap_hours):
-                target = own
-            end = getattr(row, last_ts) if not pd.isna(getattr(row, last_ts)) else end
-            out.append((getattr(row, key), own, target))
-        return pd.DataFrame(out, columns=[key, order, "target"])
-
-    kind = dict(scenes.dtypes)
-    return scenes.select(key, order, n, first_ts, last_ts).groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, {order} {kind[order]}, target {kind[order]}")
-
-
 def last_overlapping(rows: DataFrame, scene: str, item: str, k: int) -> DataFrame:
     """(scene, before, back): the last ``k`` earlier scenes that share an item with each scene, latest first.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nested_merge as N
 from ..operators import overrides as O
+from ..operators import scene_scores as S
 from .catalogue import _t, query
 
 _PART = """p as (select l_suppkey % 60 as s, l_orderkey * 100 + l_partkey % 100 as w, l_returnflag as r, l_linestatus as st, l_partkey as k, l_quantity::int as q from lineitem)"""
@@ -78,3 +79,49 @@ def nested_overrides(spark, sf):
     quoted = lambda p: F.when(O.value_at(F.col("record"), p).isNotNull(), F.concat(F.lit('"'), O.value_at(F.col("record"), p), F.lit('"'))).alias(p.rsplit(".", 1)[-1])
     counts = O.current(table).groupBy("name").agg(F.count(F.lit(1)).alias("n_paths"))
     return records.join(counts, "name").select("name", quoted("job"), quoted("goals.short"), quoted("goals.long.first"), "n_paths")
+
+
+_CHRONICLE = """l as (select l_orderkey as o, l_linenumber as n, l_partkey as p, l_suppkey as s, l_returnflag as r, l_linestatus as t from lineitem),
+sc as (select o_custkey % 200 as export, o_orderkey as scene, o_orderpriority as pr from orders),
+ev as (select o as scene, case p % 6 when 0 then 'revelation' when 1 then 'decision' when 2 then 'emotional' when 3 then 'action' when 4 then 'conversation' else 'odd' end as kind, p % 3 as cast_ from l),
+rel as (select o as scene, case s % 4 when 0 then 'Fear' when 1 then 'love' when 2 then 'RIVALRY' end as sentiment from l where r = 'A'),
+li as (select o as scene from l where r = 'N')"""
+
+
+def _chronicle(spark, sf):
+    """Orders as scenes, their lines as events, relations and links."""
+    lines, p, s = _t(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "scene"), F.col("l_partkey"), F.col("l_suppkey")
+    pick = lambda xs, k: F.element_at(F.array(*(F.lit(x) for x in xs)), (k % len(xs) + 1).cast("int"))
+    events = lines.select("scene", pick(("revelation", "decision", "emotional", "action", "conversation", "odd"), p).alias("type"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (p % 3).cast("int")).alias("characters"))
+    relations = lines.where("l_returnflag = 'A'").select("scene", pick(("Fear", "love", "RIVALRY", None), s).alias("sentiment"))
+    scenes = _t(spark, sf, "orders").select((F.col("o_custkey") % 200).alias("export"), F.col("o_orderkey").alias("scene"), F.when(F.col("o_orderkey") % 3 != 0, F.array(F.lit("x"), F.lit("y"))).alias("characters"))
+    return scenes, events, relations, lines.where("l_returnflag = 'N'").select("scene")
+
+
+@query(f"""with {_CHRONICLE}, parts as (select scene, case kind when 'revelation' then 30 when 'decision' then 20 when 'emotional' then 20 when 'action' then 10 else 3 end as w from ev union all select scene, 15 from rel where lower(sentiment) in ('fear', 'rivalry') union all select scene, 4 from li union all select scene, 0 from sc),
+sums as (select scene, sum(w) / 10 as score from parts group by 1),
+x as (select export, sc.scene, score, row_number() over (partition by export order by sc.scene) as pos, count(*) over (partition by export) as n from sc join sums on sums.scene = sc.scene),
+t as (select a.export, a.scene, any_value(a.score) as score, any_value(a.n) as n, any_value(a.pos) as pos, round(sum(b.score) / greatest(1, any_value(a.n) // 8), 9) as trend from x a join x b on a.export = b.export and b.pos between a.pos - greatest(1, a.n // 8) // 2 and a.pos + (greatest(1, a.n // 8) - 1) // 2 group by a.export, a.scene)
+select export, scene, score, round(trend, 6) as trend, n > 2 and row_number() over (partition by export order by trend desc, pos) = 1 as peak from t""")
+def tension_curve(spark, sf):
+    scenes, events, relations, links = _chronicle(spark, sf)
+    scores = S.scene_tension(scenes, ["scene"], events, relations, links).join(scenes.select("export", "scene"), "scene")
+    made = S.curve(scores.select("export", "scene", "score"), ["export"], "scene", "score")
+    return made.withColumn("trend", F.round("trend", 6))
+
+
+@query(f"""with {_CHRONICLE}, parts as (select scene, case kind when 'revelation' then 30 when 'decision' then 20 when 'emotional' then 20 when 'action' then 10 else 5 end + 3 * cast_ as w from ev union all select scene, 5 from rel union all select scene, 4 from li union all select scene, case when scene % 3 <> 0 then 6 else 0 end from sc)
+select scene, sum(w) / 10 as score from parts group by 1""")
+def importance_scores(spark, sf):
+    scenes, events, relations, links = _chronicle(spark, sf)
+    return S.scene_importance(scenes, ["scene"], events, relations, links)
+
+
+@query("""select 'c' || s_suppkey as name, greatest(0, case s_suppkey % 5 when 0 then 40 when 1 then 30 when 2 then 20 when 3 then 10 else 0 end + case s_suppkey % 3 when 0 then 20 else 0 end + 5 * (s_suppkey % 5 - 2) - 3 * (s_suppkey % 4)) / 10 as power from supplier""")
+def power_scores(spark, sf):
+    k = F.col("s_suppkey")
+    level = F.element_at(F.array(*(F.lit(x) for x in ("exceptional", "HIGH", "medium", "low", "odd"))), (k % 5 + 1).cast("int"))
+    axes = F.create_map(F.lit("leadership"), level, F.lit("magic_power"), F.when(k % 3 == 0, "medium"), F.lit("stealth"), F.lit("high"))
+    traits = F.create_map(F.lit("humble_vs_arrogant"), k % 5 - 2, F.lit("conformist_vs_rebel"), k % 4)
+    rows = _t(spark, sf, "supplier").select(F.concat(F.lit("C"), k.cast("string")).alias("name"), k.alias("place"), axes.alias("competency_axes"), traits.alias("personality_axes"))
+    return S.character_power(rows)

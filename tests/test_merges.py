@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from skald.operators import merges as M
@@ -68,8 +69,7 @@ def test_translation_falls_back(spark):
 
 
 def test_yaml_round_trip(spark, tmp_path):
-    if yaml_docs.yaml is None:
-        return
+    pytest.importorskip("yaml")
     rows = spark.createDataFrame([("anna", "Ämter", ["a", "b"]), ("ben", None, [])], "name string, about string, tags array<string>")
     for r in yaml_docs.yaml_text(rows, "name").collect():
         (tmp_path / f"{r.name}.yaml").write_text(r.body)
