@@ -281,8 +281,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, config: CnnConfig = CnnCo
             lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
         edge, flat = np.asarray(lists.offsets), np.asarray(lists.values)
         names, langs = table.column(0).to_pylist(), table.column(1).to_pylist()
-        found = [(zlib.crc32(str(n).encode()), n, langs[i], flat[edge[i] : edge[i + 1]].reshape(-1, 1 + len(config.prefixes)).astype(np.int64)) for i, n in enumerate(names)]
-        found.sort(key=lambda x: (x[0], x[1], x[3].shape, x[3].tobytes()))
+        found = [(zlib.crc32(str(n).encode()), n, langs[i], flat[edge[i] : edge[i + 1]].reshape(-1, 1 + len(config.prefixes))) for i, n in enumerate(names)]
+        found.sort(key=lambda x: x[:2])
     return TextCnn(config).fit([x[3] for x in found], np.array([label_of[x[1]] for x in found]), [x[2] for x in found])
 
 
