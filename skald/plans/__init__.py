@@ -1,3 +1,3 @@
 """The query catalogue; the other modules add to the tables that ``catalogue`` starts."""
 
-from . import catalogue, documents, lore, merging, messages, questions, records, state, steps  # noqa: F401
+from . import catalogue, documents, lore, merging, messages, questions, records, state, steps, training  # noqa: F401
