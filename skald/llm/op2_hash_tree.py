@@ -17,8 +17,9 @@ a window numbers each bucket, so no shard passes through one task.
 
 Defined results: a null text has size 1 and checksum 0; a null id draws like
 an empty text and always lands in one shard; rows that repeat an id share a
-shard and take slots of their own; equal draws go to the first child; an empty
-table gives no rows; columns other than id and text are not read, so their
+shard and take slots of their own; equal draws go to the first child; a text of
+any length is a size and a checksum and nothing more; an empty table gives no
+rows; columns other than id and text are not read, so their
 names cannot clash.
 """
 

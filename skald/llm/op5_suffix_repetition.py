@@ -8,7 +8,10 @@ of those spans is the repeated part of the document; its share and the longest
 repeat are limited.
 
 Defined results: a null or empty text has no words and fails the base rules;
-ties and repeated rows are judged row by row; extra columns pass through the
+ties and repeated rows are judged row by row; a text of any length is judged
+whole, as a chunk of its own, with memory in proportion to its words and, where
+a long repeat asks for more doublings, to their number; an empty table gives no
+rows; extra columns pass through the
 filter untouched and cannot clash, as the verdict's columns are made from
 ``doc_id`` and ``text`` only (``quality_statistics``) or joined to nothing
 (``keep_unrepetitive`` returns the rows as they came).

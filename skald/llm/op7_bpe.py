@@ -10,7 +10,11 @@ updated.  A merge can only make pairs of higher ranks, which is checked when
 the tokenizer is read.
 
 Defined results: a null or empty text has no tokens; special tokens inside a
-text become their own ids, as the tokenizer file says.
+text become their own ids, as the tokenizer file says; repeated rows are encoded
+each; a text of any length is encoded whole, as a chunk of its own; an empty
+table gives no rows; null ids decode to a null text.  The digests read id and
+text only, so other columns cannot clash; ``encode`` and ``decode`` replace
+columns that have the names of their own.
 """
 
 from __future__ import annotations

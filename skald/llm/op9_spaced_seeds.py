@@ -18,7 +18,8 @@ windows of such a block's length meet it.
 Defined results: null and empty texts never match; an empty benchmark matches
 nothing; an item of few words is found wherever they stand in a row; repeated
 rows with one id are one document, contaminated if any of its rows is; of equal
-windows the best counts; rows without an id are reported under a null id, and
+windows the best counts; all windows of a text of any length are looked up, as
+one list in a row; an empty table gives no rows; rows without an id are reported under a null id, and
 ``drop_contaminated`` drops them together; columns of any other name may stand
 beside id and text.
 """
