@@ -1,23 +1,26 @@
-"""Vector search for many questions at once: the vectors are read once for each block of questions.
+"""Vector search for many questions at once: every cell of a grid of questions and vectors is one group.
 
-Each task keeps the best so far of its own vectors for every question of the
-block, so what it holds and sends is questions x k, whatever the number of
-vectors; blocks bound what goes to the tasks.
+Questions and vectors are dealt into parts of bounded size, and each part of
+the one meets each part of the other in one task.  A cell gives the best ``k``
+of its own vectors for each of its questions.  Nothing but two counts goes
+through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of question vectors that go to the tasks at once.
+#: Bytes of question vectors that a task compares at once.
 BLOCK_BYTES = 8 << 20
+#: Bytes of question vectors, and of other vectors, that meet in one cell.
+CELL_BYTES = 16 << 20
 _PLACES = 9
 
 
@@ -41,16 +44,18 @@ def embedded(rows: DataFrame, text: str, open_embedder: Callable[[], Callable[[l
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))]))
 
 
-def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(column: pa.ChunkedArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the rows that have ``dims`` numbers and a length, and which rows these are."""
-    lists = column.to_pylist()
-    good = np.array([i for i, v in enumerate(lists) if v is not None and len(v) == dims and None not in v], np.int64)
-    m = np.array([lists[i] for i in good], float).reshape(len(good), dims)
+    fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dims), False).to_numpy())
+    flat = pc.list_flatten(column.take(pa.array(fits)))
+    m = flat.to_numpy().astype(float).reshape(len(fits), dims)
+    whole = pc.is_valid(flat).to_numpy().reshape(len(fits), dims).all(1)
     size = np.linalg.norm(m, axis=1)
-    return m[size > 0] / size[size > 0, None], good[size > 0]
+    good = whole & (size > 0)
+    return m[good] / size[good, None], fits[good]
 
 
-def nearest(questions: DataFrame, question: str, vectors: DataFrame, key: str, embedding: str, k: int, category: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def nearest(questions: DataFrame, question: str, vectors: DataFrame, key: str, embedding: str, k: int, category: str | None = None, block_bytes: int = BLOCK_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """(question, key, category, score, place): the ``k`` rows of highest cosine for each question, best first; ties go to the smaller key.
 
     Questions are unique and have the vector column of the same name, and, with
@@ -58,54 +63,46 @@ def nearest(questions: DataFrame, question: str, vectors: DataFrame, key: str, e
     null.  A vector of another length than the question's, or of length zero,
     is no match.  Scores count to nine places.
     """
-    columns = [question, embedding] + ([category] if category else [])
     size = questions.select(F.size(embedding).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
-    per_block = max(1, block_bytes // (8 * max(size[0] or 1, 1)))
-    blocks = max(1, -(-size[1] // per_block))
-    parts = []
-    for b in range(blocks):
-        own = questions.select(columns) if blocks == 1 else questions.select(columns).where(F.pmod(F.xxhash64(question), F.lit(blocks)) == b)
-        parts.append(_block(own.where(F.col(embedding).isNotNull()).toArrow(), vectors, question, key, embedding, k, category, questions.schema[question].dataType))
-    found = reduce(DataFrame.unionAll, parts)
+    width = 8 * max(size[0] or 1, 1)
+    parts, blocks = (max(1, -(-n * width // cell_bytes)) for n in (size[1], vectors.count()))
+    at = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    kind = (F.col(category) if category else F.lit(None)).cast("string").alias("category")
+    asked = questions.where(F.col(embedding).isNotNull()).select(at(question, parts).alias("_part"), every(blocks).alias("_block"), F.col(question).alias("question"), F.col(embedding).alias("v"), kind)
+    given = vectors.where(F.col(embedding).isNotNull()).select(every(parts).alias("_part"), at(key, blocks).alias("_block"), F.col(key).alias("key"), F.col(embedding).alias("v"), kind)
+    out = T.StructType([asked.schema["question"], given.schema["key"], T.StructField("category", T.StringType()), T.StructField("score", T.DoubleType())])
+    cells = asked.groupBy("_part", "_block").cogroup(given.groupBy("_part", "_block"))
+    found = cells.applyInArrow(lambda q, v: _best_of(q, v, k, max(1, block_bytes // width)), out)
     order = Window.partitionBy("question").orderBy(F.desc("score"), "key")
     ranked = found.withColumn("place", (F.row_number().over(order) - 1).cast("long")).where(F.col("place") < k)
     return ranked.select("question", "key", "category", "score", "place")
 
 
-def _block(asked: pa.Table, vectors: DataFrame, question: str, key: str, embedding: str, k: int, category: str | None, kind: T.DataType) -> DataFrame:
-    spark = vectors.sparkSession
-    rows = asked.to_pylist()
-    dims = max((len(r[embedding]) for r in rows), default=0)
-    rows = [r for r in rows if len(r[embedding]) == dims and any(r[embedding])]
-    matrix = np.array([r[embedding] for r in rows], float).reshape(len(rows), dims)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast((matrix, [r[question] for r in rows], [r[category] for r in rows] if category else None))
-    given = vectors.select(F.col(key).alias("key"), F.col(embedding).alias("v"), (F.col(category) if category else F.lit(None)).cast("string").alias("category"))
-    out = T.StructType([T.StructField("question", kind), given.schema["key"], T.StructField("category", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked_, names, wanted = shared.value
-        best: list[list[tuple]] = [[] for _ in names]
-        for batch in it:
-            m, good = _matrix(batch.column(1), dims)
-            if not len(m) or not names:
+def _best_of(asked: pa.Table, given: pa.Table, k: int, rows: int) -> pa.Table:
+    """The best ``k`` of a cell's vectors for each of its questions; ``rows`` questions are compared at once."""
+    given = given.take(pc.sort_indices(given["key"]))  # of equal scores the first is that of the smaller key
+    kinds, wanted = (np.array(t["category"].to_pylist(), object) for t in (given, asked))
+    q_at, v_at, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for dims in pc.unique(pc.list_value_length(asked["v"])).to_pylist():
+        (q, q_rows), (v, v_rows) = _matrix(asked["v"], dims), _matrix(given["v"], dims)
+        for kind in set(wanted[q_rows].tolist()):
+            own = np.flatnonzero(wanted[q_rows] == kind)
+            fit = np.flatnonzero(kinds[v_rows] == kind) if kind is not None else np.arange(len(v_rows))
+            if not len(fit):
                 continue
-            keys, cats = batch.column(0).take(pa.array(good)).to_pylist(), batch.column(2).take(pa.array(good)).to_pylist()
-            score = np.round(asked_ @ m.T, _PLACES)
-            for q in range(len(names)):
-                line = score[q]
-                if wanted is not None and wanted[q] is not None:
-                    line = np.where([c == wanted[q] for c in cats], line, -np.inf)
+            others = v[fit].T
+            for first in range(0, len(own), rows):
+                some = own[first : first + rows]
+                score = np.round(q[some] @ others, _PLACES)
                 # Ties at the border stay in until keys decide.
-                low = -np.inf if len(line) <= k else np.partition(line, len(line) - k)[len(line) - k]
-                more = [(-line[i], keys[i], cats[i]) for i in np.flatnonzero((line >= low) & np.isfinite(line)).tolist()]
-                best[q] = sorted(best[q] + more, key=lambda x: x[:2])[:k]
-        flat = [(names[q], i, c, -float(s)) for q, found in enumerate(best) for s, i, c in found]
-        if flat:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat), (asked.schema.field(question).type, given_type, pa.string(), pa.float64()))], names=out.names)
-
-    given_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[given.schema["key"].dataType.simpleString()]
-    return given.mapInArrow(run, out)
+                low = np.partition(score, len(fit) - k, axis=1)[:, len(fit) - k] if len(fit) > k else np.full(len(some), -np.inf)
+                for line, least, row in zip(score, low, q_rows[some].tolist()):
+                    near = np.flatnonzero((line >= least) & np.isfinite(line))
+                    near = near[np.argsort(-line[near], kind="stable")[:k]]
+                    q_at.append(np.full(len(near), row)), v_at.append(v_rows[fit[near]]), scores.append(line[near])
+    v_all = pa.array(np.concatenate(v_at))
+    return pa.table({"question": asked["question"].take(pa.array(np.concatenate(q_at))), "key": given["key"].take(v_all), "category": given["category"].take(v_all), "score": pa.array(np.concatenate(scores))})
 
 
 def named_or_near(named: DataFrame, near: DataFrame, question: str, name: str) -> DataFrame:

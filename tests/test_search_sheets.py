@@ -32,6 +32,24 @@ def test_nearest_equals_brute_force_in_blocks(spark):
     assert search.nearest(q.limit(0), "q", v, "id", "e", 7).count() == 0 and search.nearest(q, "q", v.limit(0), "id", "e", 7).count() == 0
 
 
+def test_nearest_runs_no_job_for_a_block_and_takes_questions_of_any_length(spark):
+    rng = random.Random(4)
+    vectors = [(i, [rng.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(3 + i % 2)], "a") for i in range(120)]
+    v = spark.createDataFrame(vectors, "id long, e array<double>, c string").repartition(3)
+    q = spark.createDataFrame([(i, e) for i, e, _ in vectors[:40]], "q long, e array<double>")
+    sc = spark.sparkContext
+    sc.setJobGroup("nearest", "")
+    found = search.nearest(q, "q", v, "id", "e", 3, block_bytes=64, cell_bytes=256)
+    built = len(sc.statusTracker().getJobIdsForGroup("nearest"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert built <= 8, "each block ran its own jobs and sent its questions through the driver"
+    got: dict = {}
+    for r in found.orderBy("question", "place").collect():
+        got.setdefault(r.question, []).append(r.key)
+    cosine = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    assert got == {i: [y for _, y in sorted((-cosine(e, x), j) for j, x, _ in vectors if len(x) == len(e))[:3]] for i, e, _ in vectors[:40]}
+
+
 def test_names_first_then_the_nearest(spark):
     named = spark.createDataFrame([(1, "Lena", 2), (1, "Bob", 1)], "q long, name string, o long")
     near = spark.createDataFrame([(1, "lena", 0), (2, "Cid", 0), (2, "Dan", 1)], "q long, name string, place long")
