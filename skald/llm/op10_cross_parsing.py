@@ -116,12 +116,25 @@ class Automaton:
         cells = np.repeat(np.arange(len(moves), dtype=np.int64), count) * self.width
         cells += np.fromiter((c for m in moves for c in m), np.int64, len(cells))
         targets = np.fromiter((to for m in moves for to in m.values()), np.int64, len(cells))
+        self.cells, self.targets = cells, targets.astype(np.int32)
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """Makes the table that ``step`` reads of the transitions."""
         self.dense = None
-        if (len(moves) + 1) * self.width <= _DENSE:
-            self.dense = np.full((len(moves) + 1) * self.width, -1, np.int32)
-            self.dense[cells] = targets
+        if (self.dead + 1) * self.width <= _DENSE:
+            self.dense = np.full((self.dead + 1) * self.width, -1, np.int32)
+            self.dense[self.cells] = self.targets
         else:
-            self._fill(cells.astype(np.uint64), targets.astype(np.uint64))
+            self._fill(self.cells.astype(np.uint64), self.targets.astype(np.uint64))
+
+    def __getstate__(self) -> dict:
+        # The transitions alone travel: a dense table is many times as large, and a broadcast stands on the disks of all.
+        return {"known": self.known, "width": self.width, "dead": self.dead, "cells": self.cells, "targets": self.targets}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lay_out()
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         """The symbols of code points as ``spelled`` gives them."""

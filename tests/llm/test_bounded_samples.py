@@ -1,7 +1,9 @@
 """Samples for fitting are bounded, and no text is too long to be learned from."""
 
+import pickle
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,14 @@ def test_samples_fit_their_bounds(spark):
         assert ids == [i for i in picked[c] if i in ids]  # in order of their hashes
     assert fitting_ids(docs, picked, "doc_id", "text", 15, 1, "c") == {c: [min(ids)] for c, ids in picked.items()}
     assert fitting_ids(docs, {}, "doc_id", "text", 15, 1) == {} and fitting_ids(docs, {"a": [999]}, "doc_id", "text", 5, 9) == {"a": []}
+
+
+@pytest.mark.parametrize("letters", [26, 4_000])
+def test_op10_automata_travel_as_their_transitions(letters):
+    points = np.random.default_rng(5).integers(0x4E00, 0x4E00 + letters, 20_000)
+    made = op10.Automaton(points)
+    sent = pickle.dumps(made)
+    assert len(sent) < 16 * len(made.cells) and len(sent) < (made.dense.nbytes if made.dense is not None else made.table.nbytes)
+    back = pickle.loads(sent)
+    text, off = np.append(points[3_000:3_400], -1), np.array([0, 401])
+    assert back.phrases(text, off, 64).tolist() == made.phrases(text, off, 64).tolist() == [1]
