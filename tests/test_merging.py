@@ -114,6 +114,17 @@ def test_names_in_texts_equal_brute_force_without_nested_loops(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
 
 
+def test_names_across_pieces_of_a_long_text_and_no_row_for_each_gram(spark):
+    border = containment.CHUNK
+    long = "x" * (border - 5) + "lena of marchal" + "y" * border + "é" * 7
+    texts = [(1, long), (2, "LENA OF MARCHA"), (3, "lena of marchall"), (4, "")]
+    names = ["Lena of Marchal", "ma", "É", "yéé", "xlena o", "marchaly", "marchalz", "éééééééé"]
+    t, n = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(x,) for x in names], "n string")
+    found = containment.names_in_texts(n, "n", t, "id", "text")
+    assert sorted(tuple(r) for r in found.collect()) == sorted((x.lower(), i) for x in names for i, y in texts if x.lower() in y.lower())
+    assert "Generate" not in found._jdf.queryExecution().toString()
+
+
 def test_details_of_a_character(spark):
     entities = spark.createDataFrame([("Lena", [1, 2, 2, None]), ("", [1]), (None, [1]), ("Bob", None)], "name string, appearances array<long>")
     details = spark.createDataFrame([(1, 1, "the LENA one"), (1, 0, "young lena"), (2, 0, None), (3, 0, "lena"), (2, 1, "lenah")], "scene long, pos long, canonical_name string")
