@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import ROWS_PER_TASK, partitions_for
+
 # Fixed values of the weight ladders (in tenths, so that sums are exact).
 IMPORTANCE = {"revelation": 30, "decision": 20, "emotional": 20, "action": 10, "conversation": 5}
 TENSION = {"revelation": 30, "decision": 20, "emotional": 20, "action": 10, "conversation": 3}
@@ -57,9 +59,9 @@ def undirected_edges(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.where(F.col(a) != F.col(b)).groupBy(lo, hi).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def co_occurrence(rows: DataFrame, scene: str, entity: str) -> DataFrame:
+def co_occurrence(rows: DataFrame, scene: str, entity: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Pairs of entities in one scene, a < b; scenes are small by nature (they are one conversation)."""
-    own = rows.select(scene, entity).distinct()
+    own = rows.select(scene, entity).repartition(partitions_for(rows, rows_per_task), scene).distinct()
     other = own.select(F.col(scene), F.col(entity).alias("_other"))
     return own.join(other, scene).where(F.col(entity) < F.col("_other")).select(scene, F.col(entity).alias("a"), F.col("_other").alias("b"))
 
