@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import ROWS_PER_TASK, partitions_for
+
 # Fixed values of the default rules.
 SESSION_GAP_SECONDS = 1800
 MIN_SCENE_MESSAGES = 20
@@ -99,15 +101,17 @@ def previous_of(rows: DataFrame, keys: list[str], order: list[str], column: str,
     return rows.withColumn(name, F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def last_overlapping(rows: DataFrame, scene: str, item: str, k: int) -> DataFrame:
+def last_overlapping(rows: DataFrame, scene: str, item: str, k: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(scene, before, back): the last ``k`` earlier scenes that share an item with each scene, latest first.
 
     Of the scenes with one item only the last k can be among the last k of all,
     so each row brings k candidates at most, however common its item is.
     """
-    own = rows.select(F.col(scene), F.col(item).alias("_item")).distinct()
+    parts = partitions_for(rows, rows_per_task)
+    own = rows.select(F.col(scene), F.col(item).alias("_item")).repartition(parts, "_item").distinct()
     last = Window.partitionBy("_item").orderBy(scene)
     near = own.select(scene, *(F.lag(scene, i).over(last).alias(f"_{i}") for i in range(1, k + 1)))
-    met = near.select(scene, F.explode(F.array(*(f"_{i}" for i in range(1, k + 1)))).alias("before")).where("before is not null").distinct()
+    met = near.select(scene, F.explode(F.array(*(f"_{i}" for i in range(1, k + 1)))).alias("before")).where("before is not null")
+    met = met.repartition(k * parts, scene).distinct()  # each row brings k candidates at most
     back = F.row_number().over(Window.partitionBy(scene).orderBy(F.desc("before"))).cast("long")
     return met.withColumn("back", back).where(F.col("back") <= k)

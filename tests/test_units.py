@@ -117,3 +117,13 @@ def test_clusters_of_a_long_chain(spark):
     chain = spark.range(199).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(500, 501)], "a long, b long"))
     got = {r.node: r.root for r in A.clusters(chain).collect()}
     assert got == {**dict.fromkeys(range(200), 0), 500: 500, 501: 500}
+
+
+def test_tasks_of_co_occurrence_and_last_scenes_stay_small(spark):
+    rows = spark.range(4_000).selectExpr("id % 1000 as scene", "id % 37 as who")
+    # Parts follow the rows and are not joined to larger ones again.
+    pairs = A.co_occurrence(rows, "scene", "who", rows_per_task=100)
+    back = sessions.last_overlapping(rows, "scene", "who", 2, rows_per_task=100)
+    assert pairs.rdd.getNumPartitions() == 40 and back.rdd.getNumPartitions() == 80
+    held = {(i % 1000, i % 37) for i in range(4_000)}
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted((s, a, b) for s, a in held for b in range(a + 1, 37) if (s, b) in held)
