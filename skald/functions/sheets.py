@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.containment import names_in_texts
+from ..operators.spread import ROWS_PER_TASK, partitions_for
 from ..operators.text import slug_ws
 
 # Fixed values of the sheets.
@@ -37,12 +38,17 @@ def _scene_lines(appearances: DataFrame, summaries: DataFrame, most: int) -> Dat
     return told.groupBy("name").agg(F.concat(title, lines).alias("scenes"), F.max("n").alias("n"))
 
 
-def _last_relations(characters: DataFrame, relations: DataFrame) -> DataFrame:
-    """(name, related): for each character and everyone it stands to, the last relation; ends count that hold its name."""
+def _last_relations(characters: DataFrame, relations: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(name, related): for each character and everyone it stands to, the last relation; ends count that hold its name.
+
+    The last relation of two ends comes first, in parts that follow the counted
+    rows, so that only pairs of ends meet the characters.
+    """
     ends = relations.select(F.lower("from_char").alias("end")).union(relations.select(F.lower("to_char"))).where("end is not null").distinct()
     held = names_in_texts(characters, "name", ends, "end", "end").select(F.col("name").alias("who"), F.col("key").alias("end"))
     rel = relations.select(F.lower(F.coalesce("from_char", F.lit(""))).alias("a"), F.lower(F.coalesce("to_char", F.lit(""))).alias("b"), F.struct("scene", "pos").alias("at"),
         F.concat(F.coalesce("relation_type", F.lit("?")), F.lit(" ("), F.coalesce("sentiment", F.lit("?")), F.lit(")")).alias("told"))
+    rel = rel.repartition(partitions_for(relations, rows_per_task), "at").groupBy("a", "b").agg(F.max(F.struct("at", "told")).alias("last")).select("a", "b", "last.at", "last.told")
     forth = rel.join(held.withColumnRenamed("end", "a"), "a").select("who", F.col("b").alias("other"), "at", "told", "a", "b")
     back = rel.join(held.withColumnRenamed("end", "b"), "b").select("who", F.col("a").alias("other"), "at", "told", "a", "b")
     back = back.where(~F.contains("a", "who"))  # one that holds the name at both ends counts forth

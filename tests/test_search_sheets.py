@@ -91,6 +91,16 @@ def test_sheets_on_literals(spark, tmp_path):
     assert {r.slug: r.value.removesuffix("\n") for r in back} == got
 
 
+def test_relations_meet_characters_as_pairs_of_ends(spark):
+    who = spark.createDataFrame([("lena",), ("bob",)], "name string")
+    said = [(i, i % 3, "Lena" if i % 2 else "old Lena", "Bob" if i % 5 else None, f"r{i}", "s") for i in range(400)]
+    relations = spark.createDataFrame(said, "scene long, pos long, from_char string, to_char string, relation_type string, sentiment string")
+    made = sheets._last_relations(who, relations, rows_per_task=50)
+    assert {r.who: r.related for r in made.collect()} == {"lena": "## Relations\n- ****: r395 (s)\n- **bob**: r399 (s)\n", "bob": "## Relations\n- **lena**: r399 (s)\n- **old lena**: r398 (s)\n"}
+    parts = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+    assert len(parts) == 2 and all(x.rstrip().endswith("8") for x in parts), parts
+
+
 def test_anchors_join_names(spark):
     rows = [("Lena", 0), ("red (x)", 1), ("Red", 2), ("Marchal", 3), ("lena marchal", 4), ("Gaul", 5), ("gaull", 6), ("", 7), (None, 8)]
     names = spark.createDataFrame(rows, "n string, place long")
